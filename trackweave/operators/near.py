@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.plans.stages import Stages
+
 LEAF = 16
 
 
@@ -47,7 +49,8 @@ def build_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[t
             low, high = np.nanmin(real, axis=1), np.nanmax(real, axis=1)
         boxes.append((low, high))
         if d < depth:
-            span = np.where(empty[:, None], 0, high - low)
+            with np.errstate(invalid="ignore"):
+                span = np.where(empty[:, None], 0, high - low)
             axis = np.nan_to_num(span).argmax(axis=1)
             value = np.take_along_axis(at, axis[:, None, None].repeat(runs.shape[1], 1), 2)[..., 0]
             value = np.where(runs < 0, np.inf, value)
@@ -86,7 +89,7 @@ def tree_pairs(points: np.ndarray, queries: np.ndarray, radius: float, block: in
         yield qq[keep], p[keep], d2[keep]
 
 
-def kd_cells(points: DataFrame, keys: list[str], axes: list[str], radius: float, cap: int) -> DataFrame:
+def kd_cells(stages: Stages, points: DataFrame, keys: list[str], axes: list[str], radius: float, cap: int) -> DataFrame:
     """Every point once in its home cell and once, as a halo copy, in every other cell within the radius.
 
     Groups of the keys with more than ``cap`` points are split along one axis after
@@ -96,17 +99,22 @@ def kd_cells(points: DataFrame, keys: list[str], axes: list[str], radius: float,
     out = points.withColumn("cell", F.lit("")).withColumn("home", F.lit(True))
     left = len(axes)
     for axis in axes:
-        sizes = out.where("home").groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(axis, [k / 64 for k in range(1, 64)], 1000).alias("q"))
+        home = out.where("home")
+        big = home.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
         slabs = F.least(F.lit(64.0), F.ceil(F.pow(F.col("n") / F.lit(float(cap)), F.lit(1.0 / left)))).cast("int")
-        big = sizes.where(F.col("n") > cap).withColumn("m", slabs).where("m > 1")
+        big, _ = stages.write(big.withColumn("m", slabs).where("m > 1"), "big")
+        left -= 1
+        if not big.take(1):
+            continue
+        quantiles = F.percentile_approx(axis, [k / 64 for k in range(1, 64)], 1000)
         # m - 1 cuts out of the 63 quantiles, each value once
-        cuts = big.select(*keys, "cell", F.array_distinct(F.expr("transform(sequence(1, m - 1), k -> q[cast(round(k * 64.0 / m) as int) - 1])")).alias("cuts"))
+        cuts = home.join(big, [*keys, "cell"]).groupBy(*keys, "cell", "m").agg(quantiles.alias("q")).select(*keys, "cell", F.array_distinct(F.expr("transform(sequence(1, m - 1), k -> q[cast(round(k * 64.0 / m) as int) - 1])")).alias("cuts"))
+        cuts, _ = stages.write(cuts, "cuts")
         own = out.join(cuts, [*keys, "cell"], "left")
         slab = lambda v: F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c <= v)))  # noqa: B023,E731
         own = own.withColumn("_s", slab(F.col(axis)))
         own = own.withColumn("_k", F.explode(F.sequence(slab(F.col(axis) - F.lit(radius)), slab(F.col(axis) + F.lit(radius)))))
         out = own.withColumn("home", F.col("home") & (F.col("_k") == F.col("_s"))).withColumn("cell", F.when(F.col("cuts").isNull(), F.col("cell")).otherwise(F.concat("cell", F.lit("/"), "_k"))).drop("_k", "_s", "cuts")
-        left -= 1
     return out
 
 
@@ -132,10 +140,9 @@ def near_points(points: DataFrame, keys: list[str], id_col: str, axes: list[str]
     for c in names:
         whole = whole.where(~F.isnan(c))
     whole = whole.groupBy(*keys, "_id").agg(F.min(F.struct(*names)).alias("_p")).select(*keys, "_id", *(F.col(f"_p.{c}").alias(c) for c in names))
-    from trackweave.plans.stages import Stages
-
-    whole, _ = Stages(spark, "near").write(whole, "points")
-    cells = kd_cells(whole, keys, names, radius, cap)
+    stages = Stages(spark, "near")
+    whole, _ = stages.write(whole, "points")
+    cells = kd_cells(stages, whole, keys, names, radius, cap)
     groups = max(1, math.ceil(whole.count() / batch))
     dealt = cells.withColumn("_c", F.xxhash64(*keys, "cell")).withColumn("_g", F.pmod("_c", F.lit(groups)).cast("int"))
     key_types = [T.StructField(k, points.schema[k].dataType) for k in keys]
