@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave import reference_queries as reference
 from trackweave.operators import hierarchy as trees
 from trackweave.operators.near import near_points
 from trackweave.sources.tables import located_nodes, table, valid_edges
@@ -35,4 +36,9 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("node", "node_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_paths)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_paths)} | reference.QUERIES
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {reference._NODES} SELECT a.movie, a.node_id AS node_a, b.node_id AS node_b FROM n a JOIN n b ON a.movie = b.movie AND a.t = b.t AND a.node_id < b.node_id WHERE {reference._DIST} <= 6.5",
+    "p4_found": f"WITH RECURSIVE {reference._FOREST}, {reference._comp_sql('SELECT * FROM f')} SELECT up.movie, up.node_id, root AS root_id, CASE WHEN max(root) = -1 THEN -1 ELSE max(k) END AS depth FROM up JOIN top ON up.movie = top.movie AND up.node_id = top.node_id GROUP BY ALL",
+} | reference.SQL
