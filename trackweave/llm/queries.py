@@ -45,7 +45,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The three links with the highest p of every source node and evidence source."""
     rows = table(spark, d, "link_scores").where("movie is not null and source is not null and i <> -1 and j <> -1")
     cur = current_scores(rows, ["movie", "source", "i", "j"], "scored_at", "p")
-    return topn.top_n(cur, ["movie", "source", "i"], "p", "j", 3).select("movie", "source", "i", "j")
+    return topn.top_n(cur, ["movie", "source", "i"], "p", "j", 3, scores=rows).select("movie", "source", "i", "j")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from trackweave.plans.stages import Stages
 
 
-def top_n(rows: DataFrame, group: list[str], score: str, tie: str, n: int, bands: tuple[float, ...] = (0.5, 0.2)) -> DataFrame:
+def top_n(rows: DataFrame, group: list[str], score: str, tie: str, n: int, bands: tuple[float, ...] = (0.5, 0.2), scores: DataFrame | None = None) -> DataFrame:
     """(group, tie, score) of the ``n`` rows with the highest score in each group, equal scores by the smaller ``tie``.
 
-    ``rows`` is written once, range-partitioned into score bands at the given quantiles of the scores.
+    ``rows`` is written once, range-partitioned into score bands at the given quantiles of the scores, or of those of
+    ``scores``, a table cheaper to read; where the bands lie changes the work, never the result.
     From the top band down, each band gives at most n rows a group, cut map-side before the exchange, so a group of
     any size is never gathered; groups that higher bands filled are anti-joined away, and a group still
     open takes as many as it lacks.  Equal scores share a band, so ties are ranked exactly.
@@ -24,7 +25,7 @@ def top_n(rows: DataFrame, group: list[str], score: str, tie: str, n: int, bands
     kept = rows.select(*group, tie, score).where(F.col(score).isNotNull() & F.col(tie).isNotNull() & ~F.isnan(score))
     for c in group:
         kept = kept.where(F.col(c).isNotNull())
-    cuts = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.percentile_approx(score, list(bands), 1000)).first()[0] or []
+    cuts = (rows if scores is None else scores).where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.percentile_approx(score, list(bands), 1000)).first()[0] or []
     band = F.lit(0)
     for c in sorted(set(cuts), reverse=True):
         band = band + (F.col(score) < F.lit(c).cast(rows.schema[score].dataType)).cast("int")
