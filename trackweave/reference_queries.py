@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.geometry import AXES, distance, points, safe_div
+from trackweave.operators import features as ft
 from trackweave.operators import links as lk
+from trackweave.operators import matching as mt
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
 from trackweave.sources.tables import SCALE_ZYX, current_scores, known_nodes, located_nodes, table, valid_edges
@@ -676,3 +678,94 @@ def tr_window_plan(spark, d):
     w = w.where((F.size(o) == 3) & ~F.exists(o, lambda v: v.isNull() | F.isnan(v)) & F.col("name").isNotNull())
     rows = w.select("id", F.lower(F.regexp_replace("name", "[^A-Za-z0-9]", "")).alias("recording"), "t0", o[0].alias("z"), o[1].alias("y"), o[2].alias("x"), "size_um").distinct()
     return rows.groupBy("recording", "t0").agg(*(F.min(c).alias(f"{c}0") for c in AXES), *(F.max(F.col(c) + F.col("size_um")).alias(f"{c}1") for c in AXES), F.count(F.lit(1)).alias("n"))
+
+
+# --- matching and features
+
+
+@_query()
+def mt_hungarian_gate(spark, d):
+    """Nodes of neighbouring frames matched within 7 um: most pairs, then least distance."""
+    return mt.matched(sp.next_frame_pairs(_nodes(spark, d), 7.0)).drop("second")
+
+
+@_query()
+def mt_max_similarity(spark, d):
+    """Nodes of neighbouring frames matched within 7 um with the greatest sum of 1 / (1 + d)."""
+    return mt.matched(sp.next_frame_pairs(_nodes(spark, d), 7.0), similarity=True).drop("second")
+
+
+@_query()
+def mt_link_greedy(spark, d):
+    """Matched links and adopted second children."""
+    return mt.link_frames(_nodes(spark, d))
+
+
+QUERIES["mt_second_child"] = mt_link_greedy
+
+
+@_query()
+def mt_link_frames(spark, d):
+    """Nodes linked within 8 um without second children."""
+    return mt.link_frames(_nodes(spark, d), 8.0, None).drop("second")
+
+
+@_query()
+def mt_close_gaps(spark, d):
+    """Ends and starts of tracks matched over a gap: most bridges, then least distance."""
+    pairs = tr.gap_pairs(_nodes(spark, d), _edges(spark, d), exclusion=0.0)
+    return mt.matched(pairs.select("movie", F.col("e").alias("i"), F.col("s").alias("j"), "d")).drop("second")
+
+
+@_query()
+def ft_edge26(spark, d):
+    """The 26 geometry columns of each candidate link."""
+    return ft.edge26(_nodes(spark, d), sp.next_frame_pairs(_nodes(spark, d)))
+
+
+_EVID = ["tf_fwd", "tf_harm", "embed", "learned"]
+
+
+@_query(f"WITH {_SCORES}, v AS ({_PIVOT}) SELECT movie, i, j" + "".join(
+    f", coalesce({c}, 0) AS {c}, row_number() OVER (PARTITION BY movie, i ORDER BY coalesce({c}, 0) DESC, j) - 1 AS {c}_rank_src, max(coalesce({c}, 0)) OVER (PARTITION BY movie, i) - coalesce({c}, 0) AS {c}_gap_src, row_number() OVER (PARTITION BY movie, j ORDER BY coalesce({c}, 0) DESC, i) - 1 AS {c}_rank_dst, max(coalesce({c}, 0)) OVER (PARTITION BY movie, j) - coalesce({c}, 0) AS {c}_gap_dst"
+    for c in _EVID) + ", abs(coalesce(tf_fwd, 0) - coalesce(tf_harm, 0)) AS spread FROM v")
+def ft_edge47(spark, d):
+    """The evidence part of the link features: value, ranks and gaps of each source, and one difference."""
+    return ft.evidence21(_pivot(spark, d), _EVID)
+
+
+@_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos, round(least(greatest((list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 0), 1), 5) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def fn_embed_sim(spark, d):
+    """Cosine of neighbouring unit vectors and its share of 1."""
+    e = table(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").cast("array<double>").alias("u"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").cast("array<double>").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, "b").withColumn("c", dot).select("a", "b", F.round("c", 5).alias("cos"), F.round(F.least(F.greatest((F.col("c") + 1) / 2, F.lit(0.0)), F.lit(1.0)), 5).alias("p"))
+
+
+SQL["fn_cosine"], QUERIES["fn_cosine"] = SQL["fn_embed_sim"], fn_embed_sim
+
+
+@_query(f"""WITH {_LEARNED}, r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r, max(p) OVER (PARTITION BY movie, i) AS out_best FROM l),
+o AS (SELECT movie, i, max(p) AS out_best, count(*) AS out_n FROM l GROUP BY ALL),
+w AS (SELECT a.movie, a.i AS u, a.j AS d1, b.j AS d2, a.p AS p1, b.p AS p2, a.r AS r1, b.r AS r2 FROM r a JOIN r b ON a.movie = b.movie AND a.i = b.i AND a.r < b.r AND b.r <= 3),
+alt AS (SELECT movie, j, i, p, row_number() OVER (PARTITION BY movie, j ORDER BY p DESC, i) AS r FROM l)
+SELECT w.movie, u, d1, d2, p1, p2, least(p1, p2) AS pmin, p1::DOUBLE + p2::DOUBLE AS psum, r1, r2, greatest(r1, r2) AS rmax,
+coalesce((SELECT max(p) FROM alt x WHERE x.movie = w.movie AND x.j = d1 AND x.i <> u AND x.r <= 2), 0) AS io1, coalesce((SELECT max(p) FROM alt x WHERE x.movie = w.movie AND x.j = d2 AND x.i <> u AND x.r <= 2), 0) AS io2,
+coalesce(o1.out_best, 0) AS out1, coalesce(o2.out_best, 0) AS out2, coalesce(o1.out_n, 0) AS n1, coalesce(o2.out_n, 0) AS n2
+FROM w LEFT JOIN o o1 ON w.movie = o1.movie AND d1 = o1.i LEFT JOIN o o2 ON w.movie = o2.movie AND d2 = o2.i""")
+def ft_link22(spark, d):
+    """Link columns of each mother and two of her three best targets: own, competing and onward probabilities."""
+    return ft.link_pairs(_learned(spark, d))
+
+
+@_query(f"""WITH {_LEARNED}, {_NODES}, r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r, count(*) OVER (PARTITION BY movie, i) AS k FROM l),
+t AS (SELECT movie, i, max(k) AS n_out, max(p) FILTER (r = 1) AS p1, coalesce(max(p) FILTER (r = 2), 0) AS p2, coalesce(max(p) FILTER (r = 3), 0) AS p3, max(j) FILTER (r = 1) AS c1, coalesce(max(j) FILTER (r = 2), -1) AS c2 FROM r GROUP BY ALL),
+q AS (SELECT movie, j, max(p) AS q1, count(*) AS n_in FROM l GROUP BY ALL)
+SELECT n.movie, node_id, n.t, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, coalesce(p2, 0)::DOUBLE / greatest(coalesce(p1, 0)::DOUBLE, CAST(1e-6 AS DOUBLE)) AS p2_p1, coalesce(p1, 0)::DOUBLE - coalesce(p2, 0)::DOUBLE AS margin,
+coalesce(n_out, 0) AS n_out, coalesce(q1, 0) AS q1, coalesce(n_in, 0) AS n_in, (row_number() OVER (PARTITION BY n.movie, n.t ORDER BY coalesce(p2, 0), node_id) - 1) / greatest(count(*) OVER (PARTITION BY n.movie, n.t) - 1, 1) AS p2_pct
+FROM n LEFT JOIN t ON n.movie = t.movie AND node_id = i LEFT JOIN q ON n.movie = q.movie AND node_id = q.j""")
+def ft_node53(spark, d):
+    """The link columns of the node features (p1..p3, their ratios and ranks, degrees, best parent)."""
+    return ft.node_links(_nodes(spark, d), _learned(spark, d))
