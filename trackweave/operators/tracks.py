@@ -125,11 +125,11 @@ def stabilised(nodes: DataFrame, edges: DataFrame, window: int = 3, weight: floa
     return flat.join(moved.select("movie", "node_id", *(f"s{c}" for c in AXES)), ["movie", "node_id"]).select("movie", "node_id", *((F.col(c) + F.col(f"s{c}")).alias(c) for c in AXES))
 
 
-def gap_pairs(nodes: DataFrame, edges: DataFrame, max_gap: int = 2, step: float = 4.0, exclusion: float = 2.5) -> DataFrame:
+def gap_pairs(nodes: DataFrame, edges: DataFrame, max_gap: int = 2, step: float = 4.0, exclusion: float | None = 2.5) -> DataFrame:
     """(movie, e, s, gap, d): ends and starts of tracks with ``gap`` frames missing between, within step (gap + 1).
 
     Ends have no child and two frames after them, starts no parent and two before; no
-    node lies within ``exclusion`` of a point interpolated between them.
+    node lies within ``exclusion``, if given, of a point interpolated between them.
     """
     deg = degrees(nodes, edges)
     last = nodes.groupBy("movie").agg(F.max("t").alias("last"))
@@ -141,6 +141,8 @@ def gap_pairs(nodes: DataFrame, edges: DataFrame, max_gap: int = 2, step: float
         near = radius_join(points(ends, "e"), points(starts, "s", -(k + 1)), "e", "s", step * (k + 1)).withColumn("gap", F.lit(k))
         found = near if found is None else found.unionByName(near)
     pairs, _ = Stages(nodes.sparkSession, "gaps").write(found, "pairs")
+    if exclusion is None:
+        return pairs.select("movie", "e", "s", "gap", "d")
     between = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("gap"))))
     at = between.select("movie", (F.col("t") + F.col("k")).cast("int").alias("t"), "e", "s", "gap", *((F.col(f"{c}_e") + (F.col(f"{c}_s") - F.col(f"{c}_e")) * F.col("k") / (F.col("gap") + 1)).alias(f"{c}_q") for c in AXES), F.col("e").alias("q"))
     taken = radius_join(at, points(nodes, "n"), "q", "n", exclusion, "left_semi").select("movie", "e", "s", "gap").distinct()

@@ -713,7 +713,7 @@ def mt_link_frames(spark, d):
 @_query()
 def mt_close_gaps(spark, d):
     """Ends and starts of tracks matched over a gap: most bridges, then least distance."""
-    pairs = tr.gap_pairs(_nodes(spark, d), _edges(spark, d), exclusion=0.0)
+    pairs = tr.gap_pairs(_nodes(spark, d), _edges(spark, d), exclusion=None)
     return mt.matched(pairs.select("movie", F.col("e").alias("i"), F.col("s").alias("j"), "d")).drop("second")
 
 
