@@ -25,7 +25,7 @@ def components(edges: DataFrame, one_in: int = 8, stages: Stages | None = None,
     One node in ``one_in``, by hash, is a seed.  All seeds expand at once, one
     step a round, each node keeping the first label that reaches it (the smallest of
     those of the same round); where labels meet, the pair is kept.  When no node is
-    new, the nodes no seed reached become seeds in the same way.  The pairs
+    new, the nodes that no seed reached are seeds themselves.  The pairs
     of colliding labels form the small graph whose components, found alike, merge the labels.
 
     Nulls and pairs of a node with itself link nothing; an empty table has no components.
@@ -35,36 +35,29 @@ def components(edges: DataFrame, one_in: int = 8, stages: Stages | None = None,
     nodes = lists.select("node").distinct()
     labels: DataFrame | None = None
     meets: DataFrame | None = None
-    wave = 0
-    while True:
-        free = nodes if labels is None else nodes.join(labels, "node", "left_anti")
-        chosen = F.pmod(F.xxhash64("node", F.lit(wave), F.lit(depth)), F.lit(one_in if wave < 2 else 1)) == 0
-        front, _ = stages.write(free.where(chosen).select("node", F.col("node").alias("label")), "seeds")
-        started = bool(front.take(1))
-        if not started and wave >= 2:
-            break
-        wave += 1
-        if not started:
-            continue
+    for wave in (0, 1):
+        if labels is None:
+            seeds = nodes.where(F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(one_in)) == 0)
+        else:
+            labels, _ = stages.write(labels, "labels")
+            seeds = nodes.join(labels, "node", "left_anti")
+        front, _ = stages.write(seeds.select("node", F.col("node").alias("label")), "seeds")
         labels = front if labels is None else labels.unionByName(front)
-        while True:
-            reached, _ = stages.write(lists.join(front, "node").select(F.explode("next").alias("node"), "label").distinct(), "reached")
-            new, _ = stages.write(reached.join(labels, "node", "left_anti").groupBy("node").agg(F.min("label").alias("label")), "new")
-            more = bool(new.take(1))
-            if more:
-                labels = labels.unionByName(new)
-            met = reached.join(labels.withColumnRenamed("label", "own"), "node").where("label <> own").select(F.least("label", "own").alias("a"), F.greatest("label", "own").alias("b")).distinct()
-            met, _ = stages.write(met, "met")
+        while front.take(1):
+            told = lists.join(front, "node").select(F.explode("next").alias("node"), "label").distinct()
+            reached, _ = stages.write(told.join(labels.withColumnRenamed("label", "own"), "node", "left"), "reached")
+            new = reached.where("own is null").groupBy("node").agg(F.min("label").alias("label"))
+            fresh = reached.where("own is null").join(new.withColumnRenamed("label", "first"), "node").select("label", F.col("first").alias("own"))
+            met = reached.where("own is not null").select("label", "own").unionByName(fresh).where("label <> own")
             meets = met if meets is None else meets.unionByName(met)
-            if not more:
-                break
+            labels = labels.unionByName(new)
             front = new
-    if labels is None:
-        return nodes.select("node", F.col("node").alias("component"))
     labels, _ = stages.write(labels, "labels")
-    if meets is None or not meets.take(1):
+    if meets is None:
+        return labels.select("node", F.col("label").alias("component"))
+    meets, _ = stages.write(meets.select(F.least("label", "own").alias("a"), F.greatest("label", "own").alias("b")).distinct(), "meets")
+    if not meets.take(1):
         return labels.select("node", F.col("label").alias("component"))
-    meets, _ = stages.write(meets.distinct(), "meets")
     merged = components(meets, one_in, stages, depth + 1).withColumnsRenamed({"node": "label"})
     return labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
