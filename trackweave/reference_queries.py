@@ -15,6 +15,7 @@ from trackweave.functions.geometry import AXES, distance, points, safe_div
 from trackweave.operators import features as ft
 from trackweave.operators import links as lk
 from trackweave.operators import matching as mt
+from trackweave.operators import samples as sm
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
 from trackweave.sources.tables import SCALE_ZYX, current_scores, known_nodes, located_nodes, table, valid_edges
@@ -769,3 +770,147 @@ FROM n LEFT JOIN t ON n.movie = t.movie AND node_id = i LEFT JOIN q ON n.movie =
 def ft_node53(spark, d):
     """The link columns of the node features (p1..p3, their ratios and ranks, degrees, best parent)."""
     return ft.node_links(_nodes(spark, d), _learned(spark, d))
+
+
+# --- scores, labels and samples
+
+
+@_query(f"""WITH {_NODES}, sc AS (SELECT movie, round_even(z, 3) AS z, round_even(y, 3) AS y, round_even(x, 3) AS x, max_by(p, ingested_at) AS seed, count(*) AS size FROM (SELECT n.movie, n.z, n.y, n.x, e.p, e.ingested_at FROM track_edges e JOIN n ON e.movie = n.movie AND e.source_id = n.node_id WHERE e.p IS NOT NULL) GROUP BY 1, 2, 3, 4),
+j AS (SELECT n.movie, node_id, size AS found, coalesce(size, 0) AS size FROM n LEFT JOIN sc ON n.movie = sc.movie AND round_even(n.z, 3) = sc.z AND round_even(n.y, 3) = sc.y AND round_even(n.x, 3) = sc.x),
+m AS (SELECT movie, median(size) AS med, bool_or(found IS NULL) AS missed FROM j GROUP BY movie)
+SELECT j.movie, node_id, CASE WHEN missed AND size = 0 THEN med ELSE size END AS size FROM j JOIN m USING (movie)""")
+def jn_scores_to_nodes(spark, d):
+    """Sizes joined to nodes by coordinates rounded to three decimals; if any node of a movie missed, its zeros become the movie's median."""
+    n = _nodes(spark, d)
+    at = [F.bround(c, 3).alias(f"r{c}") for c in AXES]
+    e = table(spark, d, "track_edges").where("p is not null").select("movie", F.col("source_id").alias("node_id"))
+    sc = e.join(n, ["movie", "node_id"]).groupBy("movie", *at).agg(F.count(F.lit(1)).alias("found"))
+    rows = n.select("movie", "node_id", *at).join(sc, ["movie", "rz", "ry", "rx"], "left").withColumn("size", F.coalesce("found", F.lit(0)).cast("double"))
+    med = rows.groupBy("movie").agg(F.percentile("size", F.lit(0.5)).alias("med"), F.bool_or(F.col("found").isNull()).alias("missed"))
+    return rows.join(med, "movie").select("movie", "node_id", F.when(F.col("missed") & (F.col("size") == 0), F.col("med")).otherwise(F.col("size")).alias("size"))
+
+
+@_query(f"WITH {_NODES}, {_LEARNED}, v AS (SELECT l.movie, t, round_even(z, 0) AS z, round_even(y, 0) AS y, round_even(x, 0) AS x, max(p) AS score FROM l JOIN n ON l.movie = n.movie AND i = node_id GROUP BY ALL) SELECT n.movie, node_id, coalesce(score, 0) AS score, score IS NOT NULL AS present FROM n LEFT JOIN v ON n.movie = v.movie AND n.t = v.t AND round_even(n.z, 0) = v.z AND round_even(n.y, 0) = v.y AND round_even(n.x, 0) = v.x")
+def jn_divscore(spark, d):
+    """A score joined to nodes by frame and rounded voxel, 0 where there is none."""
+    n = _nodes(spark, d)
+    at = [F.rint(c).alias(f"r{c}") for c in AXES]
+    keyed = n.select("movie", "t", "node_id", *at)
+    v = _learned(spark, d).withColumnRenamed("i", "node_id").join(keyed, ["movie", "node_id"]).groupBy("movie", "t", "rz", "ry", "rx").agg(F.max("p").alias("score"))
+    return keyed.join(v, ["movie", "t", "rz", "ry", "rx"], "left").select("movie", "node_id", F.coalesce("score", F.lit(0.0).cast("float")).alias("score"), F.col("score").isNotNull().alias("present"))
+
+
+@_query(f"""WITH {_EDGES}, {_LEARNED}, c AS (SELECT movie, source_id AS u, list_sort(list(target_id)) AS kids FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM l), w AS (SELECT movie, i AS u, least(max(j) FILTER (r = 1), max(j) FILTER (r = 2)) AS d1, greatest(max(j) FILTER (r = 1), max(j) FILTER (r = 2)) AS d2 FROM r WHERE r <= 2 GROUP BY ALL HAVING count(*) = 2)
+SELECT w.movie, w.u, d1, d2, CASE WHEN len(kids) = 1 THEN 0 WHEN len(kids) = 2 THEN (kids[1] = d1 AND kids[2] = d2)::INT END AS y FROM w LEFT JOIN c ON w.movie = c.movie AND w.u = c.u""")
+def jn_event_label(spark, d):
+    """Label of a mother and her two best targets: 0 if she has one child, with two whether they are these, else none."""
+    c = _edges(spark, d).groupBy("movie", F.col("source_id").alias("u")).agg(F.count(F.lit(1)).alias("k"), F.min("target_id").alias("k1"), F.max("target_id").alias("k2"))
+    two = lk.top_links(_learned(spark, d)).where("degree >= 2").select("movie", F.col("i").alias("u"), F.least("c1", "c2").alias("d1"), F.greatest("c1", "c2").alias("d2"))
+    y = F.when(F.col("k") == 1, 0).when(F.col("k") == 2, ((F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2"))).cast("int"))
+    return two.join(c, ["movie", "u"], "left").select("movie", "u", "d1", "d2", y.alias("y"))
+
+
+@_query(f"WITH {_NODES}, w AS ({_SAME}) SELECT n.movie, node_id, count(i) FILTER (d <= 10) AS near, count(i) AS wide FROM n LEFT JOIN w ON n.movie = w.movie AND node_id = i AND d <= 20 GROUP BY ALL")
+def sj_density_pair(spark, d):
+    """Other nodes of the frame within 10 and 20 um."""
+    n = _nodes(spark, d)
+    a, b = sp.crowding(n, 10.0).withColumnRenamed("n", "near"), sp.crowding(n, 20.0).withColumnRenamed("n", "wide")
+    return a.join(b, ["movie", "node_id"])
+
+
+@_query(f"WITH {_NODES} SELECT a.movie, a.t, count(*) AS pairs FROM (SELECT movie, t, count(*) AS k FROM n GROUP BY ALL) a JOIN (SELECT movie, t, count(*) AS k FROM n GROUP BY ALL) b ON a.movie = b.movie AND b.t = a.t + 1 GROUP BY ALL")
+def tj_next_frame(spark, d):
+    """Frames that have a next one."""
+    f = _nodes(spark, d).groupBy("movie", "t").agg(F.count(F.lit(1)).alias("k"))
+    return f.join(f.select("movie", (F.col("t") - 1).alias("t")), ["movie", "t"]).groupBy("movie", "t").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + f""", r AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM e)), su AS (SELECT a.movie, a.node_id,
+ EXISTS (SELECT 1 FROM r b WHERE b.movie = a.movie AND b.t = a.t AND {_DIST} <= 6) AS s FROM n a), sh AS (SELECT cc.movie, comp, avg(s::INT) AS share FROM cc JOIN su ON cc.movie = su.movie AND cc.node_id = su.node_id GROUP BY ALL)
+SELECT cc.movie, cc.node_id, cc.comp, round(share, 6) AS share FROM cc JOIN sh ON cc.movie = sh.movie AND cc.comp = sh.comp WHERE share >= 0.5""")
+def ag_component_support(spark, d):
+    """Nodes of trees of which at least half is supported within 6 um."""
+    n, e = _nodes(spark, d), _edges(spark, d)
+    ref = n.join(e.select("movie", F.col("source_id").alias("node_id")), ["movie", "node_id"], "left_semi")
+    rows = tr.components(n, tr.forest(e)).join(sp.supported(n, ref, 6.0), ["movie", "node_id"])
+    share = rows.groupBy("movie", "comp").agg(F.avg(F.col("supported").cast("int")).alias("share")).where("share >= 0.5")
+    return rows.join(share, ["movie", "comp"]).select("movie", "node_id", "comp", F.round("share", 6).alias("share"))
+
+
+SQL["gr_support_tracks"], QUERIES["gr_support_tracks"] = SQL["ag_component_support"], ag_component_support
+
+
+@_query(f"WITH {_LEARNED}, r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM l), w AS (SELECT a.movie, a.i AS u, a.p::DOUBLE * b.p::DOUBLE AS score FROM r a JOIN r b ON a.movie = b.movie AND a.i = b.i AND a.r < b.r AND b.r <= 3) SELECT movie, u, max(score) AS score, round(avg(1 / (1 + exp(-(2 * score - 1)))), 6) AS mean FROM w GROUP BY ALL")
+def ag_best_pair(spark, d):
+    """Best and mean calibrated score of each mother's pairs."""
+    w = ft.link_pairs(_learned(spark, d)).withColumn("score", F.col("p1").cast("double") * F.col("p2").cast("double"))
+    return w.groupBy("movie", "u").agg(F.max("score").alias("score"), F.round(F.avg(1 / (1 + F.exp(-(2 * F.col("score") - 1)))), 6).alias("mean"))
+
+
+SQL["ag_ensemble_mean"] = SQL["fn_sigmoid_cal"] = SQL["ag_best_pair"]
+QUERIES["ag_ensemble_mean"] = QUERIES["fn_sigmoid_cal"] = ag_best_pair
+
+
+@_query("""WITH b AS (SELECT user_id, datediff('day', TIMESTAMP '2024-01-01', ts)::DOUBLE AS t, max(value) AS v FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+pr AS (SELECT a.user_id, (c.v - a.v) / (c.t - a.t) AS q FROM b a JOIN b c ON a.user_id = c.user_id AND c.t > a.t), sl AS (SELECT user_id, median(q) AS slope FROM pr GROUP BY ALL),
+st AS (SELECT user_id, t, v, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS r, max(v) OVER w - v AS fall, first_value(v) OVER w AS v0 FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT st.user_id, count(*) AS n, round(coalesce(max(slope), 0), 6) AS slope, round(coalesce(count(*) FILTER (r > 0)::DOUBLE / nullif(count(r), 0), 0), 6) AS rising, round(arg_max(v, t) - max(v0), 6) AS net, round(max(fall), 6) AS draw_down,
+round(coalesce(sum(greatest(-r, 0)), 0), 6) AS decrease, round(count(*) FILTER (v > v0)::DOUBLE / count(*), 6) AS above, round(coalesce(min(r), 0), 6) AS min_step, round(coalesce(max(r), 0), 6) AS max_step, max(t) - min(t) AS span FROM st LEFT JOIN sl ON st.user_id = sl.user_id GROUP BY st.user_id""")
+def wn_trend(spark, d):
+    """Trend statistics of each user's daily best value."""
+    ev = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t"), "value").where("user_id is not null")
+    out = sm.trend(ev, ["user_id"], "t", "value")
+    return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("slope", "rising", "net", "draw_down", "decrease", "above", "min_step", "max_step")), "span")
+
+
+@_query(f"WITH {_SCORES} SELECT movie, source, i, j, p FROM (SELECT *, row_number() OVER (PARTITION BY movie, source ORDER BY p DESC, i, j) AS r FROM s) WHERE r <= 40")
+def so_max_peaks(spark, d):
+    """The 40 strongest links of each movie and evidence."""
+    rank = F.row_number().over(Window.partitionBy("movie", "source").orderBy(F.desc("p"), "i", "j"))
+    return _scores(spark, d).withColumn("r", rank).where("r <= 40").select("movie", "source", "i", "j", "p")
+
+
+@_query()
+def tr_neg_sample(spark, d):
+    """At most 200 nodes of each movie that are no mothers and lie neither in the first nor the last frame."""
+    n, e = _nodes(spark, d), _edges(spark, d)
+    mothers = e.groupBy("movie", F.col("source_id").alias("node_id")).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    last = n.groupBy("movie").agg(F.max("t").alias("last"))
+    rows = n.join(mothers, ["movie", "node_id"], "left_anti").join(last, "movie").where("t >= 1 and t < last")
+    return sm.per_group(rows.select("movie", "node_id", "t"), "movie", "node_id", 200, 1)
+
+
+@_query()
+def tr_epoch_items(spark, d):
+    """At most 16 frames of each movie."""
+    return sm.per_group(_nodes(spark, d).select("movie", "t").distinct(), "movie", "t", 16, 7)
+
+
+@_query(f"WITH {_NODES}, m AS (SELECT DISTINCT movie FROM n) SELECT movie, (row_number() OVER (PARTITION BY substr(movie, 1, 4) ORDER BY movie) - 1) % 5 AS fold FROM m")
+def tr_folds(spark, d):
+    """Five folds, dealt in turn to the movies of each embryo (the name's first part)."""
+    m = _nodes(spark, d).select("movie").distinct()
+    return m.select("movie", ((F.row_number().over(Window.partitionBy(F.substring("movie", 1, 4)).orderBy("movie")) - 1) % 5).alias("fold"))
+
+
+@_query(f"WITH {_NODES}, {_LEARNED} SELECT l.movie, i, j, p, sqrt((b.z - a.z) * (b.z - a.z) + (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) AS vox FROM l JOIN n a ON l.movie = a.movie AND i = a.node_id JOIN n b ON l.movie = b.movie AND j = b.node_id WHERE p >= CAST(0.02 AS FLOAT)")
+def gr_candidate_graph(spark, d):
+    """Candidate edges with p >= 0.02 and their length in voxels."""
+    n = _nodes(spark, d)
+    a = n.select("movie", F.col("node_id").alias("i"), *(F.col(c).alias(f"{c}_a") for c in AXES))
+    b = n.select("movie", F.col("node_id").alias("j"), *(F.col(c).alias(f"{c}_b") for c in AXES))
+    rows = _learned(spark, d).where(F.col("p") >= F.lit(0.02).cast("float")).join(a, ["movie", "i"]).join(b, ["movie", "j"])
+    return rows.select("movie", "i", "j", "p", distance("_a", "_b").alias("vox"))
+
+
+@_query(f"WITH {_MOVES}, q AS (SELECT a.movie, a.target_id AS u, a.dz AS az, a.dy AS ay, a.dx AS ax, b.target_id AS w, b.dz AS bz, b.dy AS by_, b.dx AS bx FROM m a JOIN m b ON a.movie = b.movie AND a.target_id = b.source_id), v AS (SELECT *, sqrt(az * az + ay * ay + ax * ax) * sqrt(bz * bz + by_ * by_ + bx * bx) AS norm FROM q) SELECT movie, u, w, round(CASE WHEN norm <= 1e-6 THEN 0 ELSE (az * bz + ay * by_ + ax * bx) / greatest(norm, 1e-6) END, 6) AS turn, count(*) AS n FROM v GROUP BY ALL")
+def fn_motion_cosine(spark, d):
+    """Cosine between the motion into a node and that out of it."""
+    from trackweave.functions.geometry import cosine
+
+    m = tr.motions(_nodes(spark, d), _edges(spark, d))
+    a = m.select("movie", F.col("j").alias("u"), *(F.col(f"d{c}").alias(f"a{c}") for c in AXES))
+    b = m.select("movie", F.col("i").alias("u"), F.col("j").alias("w"), *(F.col(f"d{c}").alias(f"b{c}") for c in AXES))
+    turn = cosine([F.col(f"a{c}") for c in AXES], [F.col(f"b{c}") for c in AXES])
+    return a.join(b, ["movie", "u"]).groupBy("movie", "u", "w", F.round(turn, 6).alias("turn")).agg(F.count(F.lit(1)).alias("n"))
