@@ -48,7 +48,7 @@ def test_groups_of_nulls_loops_and_nothing(spark):
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     pairs = [(str(k), str(k + 1)) for k in range(10, 40)] + [("hub", str(k)) for k in range(100, 130)] + [(str(rng.randrange(500, 560)), str(rng.randrange(500, 560))) for _ in range(40)]
-    found = splits.components(spark.createDataFrame(pairs, "a string, b string"), one_in=4).collect()
+    found = splits.components(spark.createDataFrame(pairs, "a string, b string")).collect()
     want = brute_groups(pairs)
     assert len(found) == len(want)
     groups_ = lambda of: {frozenset(n for n in of if of[n] == c) for c in set(of.values())}

@@ -11,54 +11,45 @@ from trackweave.plans.stages import Stages
 LIST = 1024
 
 
-def _adjacency(edges: DataFrame) -> DataFrame:
-    """(node, part, next): adjacency lists of at most about LIST neighbours, hash-partitioned by node and part."""
+def _adjacency(edges: DataFrame, salt: int) -> DataFrame:
+    """(node, part, next, least): adjacency lists of at most about LIST neighbours, hash-partitioned by node and part, and the
+    least hash among the neighbours."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).where("node <> to").distinct()
     parts = both.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"))
     both = both.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("to"), F.col("parts")).cast("int"))
-    return both.groupBy("node", "part").agg(F.collect_list("to").alias("next"))
+    return both.groupBy("node", "part").agg(F.collect_list("to").alias("next"), F.min(F.xxhash64("to", F.lit(salt))).alias("least"))
 
 
-def components(edges: DataFrame, one_in: int = 8, stages: Stages | None = None, depth: int = 0) -> DataFrame:
+def components(edges: DataFrame, steps: int = 3, stages: Stages | None = None, depth: int = 0) -> DataFrame:
     """(node, component) of all nodes of ``edges(a, b)``; the component is one of its nodes.
 
-    One node in ``one_in``, by hash, is a seed.  All seeds expand at once, one
-    step a round, each node keeping the first label that reaches it (the smallest of
-    those of the same round); where labels meet, the pair is kept.  When no node is
-    new, the nodes that no seed reached are seeds themselves.  The pairs
-    of colliding labels form the small graph whose components, found alike, merge the labels.
+    Nodes whose hash is below that of all their neighbours are seeds, so every component has some.  All seeds
+    expand at once for ``steps`` rounds, one step each, a node keeping the first label that reaches it (the smallest of
+    those of the same round); nodes that no seed reached by then are seeds themselves.  Where labels meet,
+    the pair is kept.  The pairs of colliding labels form a graph a fraction as large, whose
+    components, found alike, merge the labels; it ends when no labels meet.
 
     Nulls and pairs of a node with itself link nothing; an empty table has no components.
     """
     stages = stages or Stages(edges.sparkSession, "components")
-    lists, _ = stages.write(_adjacency(edges.where("a is not null and b is not null")), "lists")
-    nodes = lists.select("node").distinct()
-    labels: DataFrame | None = None
-    meets: DataFrame | None = None
-    for wave in (0, 1):
-        if labels is None:
-            seeds = nodes.where(F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(one_in)) == 0)
-        else:
-            labels, _ = stages.write(labels, "labels")
-            seeds = nodes.join(labels, "node", "left_anti")
-        front, _ = stages.write(seeds.select("node", F.col("node").alias("label")), "seeds")
-        labels = front if labels is None else labels.unionByName(front)
-        while front.take(1):
-            told = lists.join(front, "node").select(F.explode("next").alias("node"), "label").distinct()
-            reached, _ = stages.write(told.join(labels.withColumnRenamed("label", "own"), "node", "left"), "reached")
-            new = reached.where("own is null").groupBy("node").agg(F.min("label").alias("label"))
-            fresh = reached.where("own is null").join(new.withColumnRenamed("label", "first"), "node").select("label", F.col("first").alias("own"))
-            met = reached.where("own is not null").select("label", "own").unionByName(fresh).where("label <> own")
-            meets = met if meets is None else meets.unionByName(met)
-            labels = labels.unionByName(new)
-            front = new
-    labels, _ = stages.write(labels, "labels")
-    if meets is None:
-        return labels.select("node", F.col("label").alias("component"))
-    meets, _ = stages.write(meets.select(F.least("label", "own").alias("a"), F.greatest("label", "own").alias("b")).distinct(), "meets")
+    lists, _ = stages.write(_adjacency(edges.where("a is not null and b is not null"), depth), "lists")
+    seeds = lists.groupBy("node").agg(F.min("least").alias("least")).where(F.xxhash64("node", F.lit(depth)) < F.col("least"))
+    labels = seeds.select("node", F.struct(F.lit(0).alias("step"), F.col("node").alias("label")).alias("l"))
+    for k in range(steps):
+        # the frontier tells its neighbours; every labelled node keeps what it has
+        own = F.array(F.struct(F.col("node").alias("node"), F.col("l.step").alias("step")))
+        told = F.when(F.col("l.step") == k, F.transform("next", lambda x: F.struct(x.alias("node"), F.lit(k + 1).alias("step"))))  # noqa: B023
+        none = F.array().cast("array<struct<node:%s,step:int>>" % lists.schema["node"].dataType.simpleString())
+        heard = lists.join(labels, "node").select("l.label", F.explode(F.concat(own, F.coalesce(told, none))).alias("x"))
+        labels = heard.groupBy("x.node").agg(F.min(F.struct("x.step", "label")).alias("l"))
+    labels, _ = stages.write(lists.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("l.label", "node").alias("label")), "labels")
+    # every node has its label now: labels meet along the edges whose ends have different ones
+    ends = lists.join(labels, "node").select("label", F.explode("next").alias("node"))
+    met = ends.join(labels.withColumnRenamed("label", "own"), "node").where("label < own").select(F.col("label").alias("a"), F.col("own").alias("b")).distinct()
+    meets, _ = stages.write(met, "meets")
     if not meets.take(1):
         return labels.select("node", F.col("label").alias("component"))
-    merged = components(meets, one_in, stages, depth + 1).withColumnsRenamed({"node": "label"})
+    merged = components(meets, steps, stages, depth + 1).withColumnsRenamed({"node": "label"})
     return labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
