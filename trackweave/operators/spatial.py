@@ -14,7 +14,8 @@ def radius_join(left: DataFrame, right: DataFrame, a: str, b: str, radius: float
 
     A grid join: one side lies in its own cell of the width of the radius, the other in the
     27 around its own, so the join is a hash or merge join on movie, frame and cell, and no task
-    meets a whole frame.  ``how`` may be inner, left_semi or left_anti.
+    meets a whole frame.  The exploded side's size is not known before it runs, so it is merged, never
+    broadcast on a guess.  ``how`` may be inner, left_semi or left_anti.
     Points with a null place or frame match nothing.
     """
     keys = ["movie", "t"]
@@ -24,10 +25,10 @@ def radius_join(left: DataFrame, right: DataFrame, a: str, b: str, radius: float
         keys.append(f"_c{c}")
     drop = [f"_c{c}" for c in AXES]
     if how == "inner":
-        return left.join(right, keys).withColumn("d", distance(f"_{a}", f"_{b}")).where(F.col("d") <= radius).drop(*drop)
+        return left.join(right.hint("merge"), keys).withColumn("d", distance(f"_{a}", f"_{b}")).where(F.col("d") <= radius).drop(*drop)
     other = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
     on = [F.col(k) == F.col(f"{k}_r") for k in keys] + [distance(f"_{a}", f"_{b}") <= radius]
-    return left.join(other, on, how).drop(*drop)
+    return left.join(other.hint("merge"), on, how).drop(*drop)
 
 
 def next_frame_pairs(nodes: DataFrame, radius: float = 10.0) -> DataFrame:
