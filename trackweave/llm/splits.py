@@ -91,7 +91,8 @@ def overlapping(places: DataFrame) -> DataFrame:
         meet &= (low < F.col(f"pa.{c}") + F.col("pa.size")) & (low < F.col(f"pb.{c}") + F.col("pb.size")) & (F.floor(low / size) == F.col(f"c{c}"))
     first = F.greatest("pa.t0", "pb.t0")
     meet &= (first <= F.col("pa.t1")) & (first <= F.col("pb.t1")) & (F.floor(first / span) == F.col("ct"))
-    return a.join(b, grid).where(meet).select("a", "b")
+    # the size of an exploded side is not known before it runs, so it must not be broadcast on a guess
+    return a.join(b.hint("merge"), grid).where(meet).select("a", "b")
 
 
 def related_windows(table: DataFrame) -> DataFrame:
