@@ -16,6 +16,7 @@ from trackweave.operators import features as ft
 from trackweave.operators import links as lk
 from trackweave.operators import matching as mt
 from trackweave.operators import samples as sm
+from trackweave.operators import scoring as sc_
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
 from trackweave.sources.tables import SCALE_ZYX, current_scores, known_nodes, located_nodes, table, valid_edges
@@ -914,3 +915,119 @@ def fn_motion_cosine(spark, d):
     b = m.select("movie", F.col("i").alias("u"), F.col("j").alias("w"), *(F.col(f"d{c}").alias(f"b{c}") for c in AXES))
     turn = cosine([F.col(f"a{c}") for c in AXES], [F.col(f"b{c}") for c in AXES])
     return a.join(b, ["movie", "u"]).groupBy("movie", "u", "w", F.round(turn, 6).alias("turn")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def tr_edge_lgbm(spark, d):
+    """Out-of-fold probability of each link from its evidence columns, two halves of the movies, boosted trees."""
+    cols = ft.evidence21(_pivot(spark, d), _EVID)
+    rows = cols.join(jn_gt_child(spark, d), ["movie", "i", "j"]).join(tr_halves(spark, d), "movie")
+    features = [c for c in cols.columns if c not in ("movie", "i", "j")]
+    return sc_.out_of_fold(rows, features, "y", "half", 2, ["movie", "i", "j", "y"])
+
+
+QUERIES["md_edge_lgbm"] = tr_edge_lgbm
+
+
+# --- small column operators
+
+
+@_query("""SELECT event_type, event_id, round(greatest((value - a) / (b - a + 1e-6), 0), 8) AS v FROM events JOIN (SELECT event_type, quantile_cont(value, 0.001) AS a, quantile_cont(value, 0.999) AS b FROM events GROUP BY 1) USING (event_type)""")
+def prj_quantile_scale(spark, d):
+    """Scaling by stored quantiles, kept as a map of their names, not below 0."""
+    ev = table(spark, d, "events")
+    q = ev.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.001), F.lit(0.999))).alias("q"))
+    q = q.select("event_type", F.create_map(F.lit("0.001"), F.col("q")[0], F.lit("0.999"), F.col("q")[1]).alias("quantiles"))
+    lo, hi = F.col("quantiles")["0.001"], F.col("quantiles")["0.999"]
+    return ev.join(q, "event_type").select("event_type", "event_id", F.round(F.greatest((F.col("value") - lo) / (hi - lo + 1e-6), F.lit(0.0)), 8).alias("v"))
+
+
+@_query("""SELECT event_type, event_id, round((ln(1 + value) - m) / (s + 1e-3), 6) AS v FROM events JOIN (SELECT event_type, avg(ln(1 + value)) AS m, stddev_samp(ln(1 + value)) AS s FROM events GROUP BY 1) USING (event_type)""")
+def prj_log1p_zscore(spark, d):
+    """log1p, then z-score in the group with the deviation raised by 1e-3."""
+    ev = table(spark, d, "events")
+    q = ev.groupBy("event_type").agg(F.avg(F.log1p("value")).alias("m"), F.stddev_samp(F.log1p("value")).alias("s"))
+    return ev.join(q, "event_type").select("event_type", "event_id", F.round((F.log1p("value") - F.col("m")) / (F.col("s") + 1e-3), 6).alias("v"))
+
+
+@_query("SELECT movie, i, j, source, CASE WHEN p IS NULL OR isnan(p) THEN 0 ELSE p END AS zero, CASE WHEN p IS NULL OR isnan(p) THEN -1 ELSE p END AS minus, count(*) AS n FROM link_scores GROUP BY ALL")
+def prj_nan_fill(spark, d):
+    """Null and NaN as 0 and as -1."""
+    fill = lambda v: F.coalesce(F.nanvl("p", F.lit(v).cast("float")), F.lit(v).cast("float"))
+    return table(spark, d, "link_scores").groupBy("movie", "i", "j", "source", fill(0.0).alias("zero"), fill(-1.0).alias("minus")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_LINKS}, w AS ({_SAME}), nn AS (SELECT n.movie, node_id, least(coalesce(min(d), 15.0), 15.0) AS nnd FROM n LEFT JOIN w ON n.movie = w.movie AND node_id = i GROUP BY ALL) SELECT k.movie, i, j, least(d, 8.0) AS d_cap, d / greatest(nnd, 1e-6) AS d_nnd FROM k JOIN nn ON k.movie = nn.movie AND i = node_id")
+def prj_safe_div(spark, d):
+    """Link length, capped, and over the source's nearest distance, which counts at least 1e-6."""
+    n = _nodes(spark, d)
+    rows = sp.next_frame_pairs(n).join(sp.nearest_in_frame(n).withColumnRenamed("node_id", "i"), ["movie", "i"])
+    return rows.select("movie", "i", "j", F.least("d", F.lit(8.0)).alias("d_cap"), safe_div(F.col("d"), F.col("nnd")).alias("d_nnd"))
+
+
+SQL["prj_clip_feature"], QUERIES["prj_clip_feature"] = SQL["prj_safe_div"], prj_safe_div
+
+
+@_query(SQL["jn_gt_child"].replace("SELECT l.movie", "SELECT * FROM (SELECT l.movie") + ") WHERE y IS NOT NULL")
+def flt_labelled(spark, d):
+    """Labelled links only."""
+    return jn_gt_child(spark, d).where("y is not null")
+
+
+@_query(SQL["ag_cluster"].replace("GROUP BY ALL", "GROUP BY ALL HAVING count(*) >= 2"))
+def flt_min_cluster(spark, d):
+    """Cells of at least two points."""
+    return ag_cluster(spark, d).where("n >= 2")
+
+
+@_query(f"WITH {_GAPS} SELECT movie, e, s, t, round(z_um, 9) AS z, round(y_um, 9) AS y, round(x_um, 9) AS x FROM pt WHERE (movie, e, s, gap) NOT IN (SELECT (movie, e, s, gap) FROM bad)")
+def fn_interp(spark, d):
+    """Points interpolated over the gaps that may be bridged."""
+    n, g = _nodes(spark, d), tj_gap(spark, d)
+    a = n.select("movie", F.col("node_id").alias("e"), "t", *(F.col(f"{c}_um").alias(f"{c}_a") for c in AXES))
+    b = n.select("movie", F.col("node_id").alias("s"), *(F.col(f"{c}_um").alias(f"{c}_b") for c in AXES))
+    rows = g.join(a, ["movie", "e"]).join(b, ["movie", "s"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("gap"))))
+    at = lambda c: F.round(F.col(f"{c}_a") + (F.col(f"{c}_b") - F.col(f"{c}_a")) * F.col("k") / (F.col("gap") + 1), 9).alias(c)
+    return rows.select("movie", "e", "s", (F.col("t") + F.col("k")).cast("int").alias("t"), *(at(c) for c in AXES))
+
+
+@_query(f"WITH {_NODES} SELECT movie, node_id" + "".join(f", round(sin({2**k} * pi() * z / 67), 6) AS s{k}, round(cos({2**k} * pi() * z / 67), 6) AS c{k}" for k in range(4)) + " FROM n")
+def fn_sincos_pos(spark, d):
+    """Sine and cosine of the depth at four frequencies."""
+    cols = []
+    for k in range(4):
+        angle = F.lit(2.0**k) * F.pi() * F.col("z") / 67
+        cols += [F.round(F.sin(angle), 6).alias(f"s{k}"), F.round(F.cos(angle), 6).alias(f"c{k}")]
+    return _nodes(spark, d).select("movie", "node_id", *cols)
+
+
+@_query("SELECT id, split_part(id, '_', 1) AS prefix, split_part(id, '_', -1) AS last, regexp_replace(id, '_w[0-9]+$', '') AS stem, count(*) AS n FROM ultrack_windows GROUP BY ALL")
+def fn_string(spark, d):
+    """Parts of window ids."""
+    i = F.col("id")
+    return table(spark, d, "ultrack_windows").groupBy("id", F.split_part(i, F.lit("_"), F.lit(1)).alias("prefix"), F.split_part(i, F.lit("_"), F.lit(-1)).alias("last"), F.regexp_replace(i, "_w[0-9]+$", "").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""WITH {_LINKS}, w AS ({_SAME}), nn AS (SELECT n.movie, node_id, n.t, n.z_um, n.y_um, n.x_um, least(coalesce(min(d), 15.0), 15.0) AS nnd FROM n LEFT JOIN w ON n.movie = w.movie AND node_id = i GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY d, j) AS a, row_number() OVER (PARTITION BY movie, j ORDER BY d, i) AS b FROM k),
+an AS (SELECT p.movie, p.t, p.node_id, p.z_um, p.y_um, p.x_um, q.z_um - p.z_um AS mz, q.y_um - p.y_um AS my, q.x_um - p.x_um AS mx FROM r JOIN n p ON r.movie = p.movie AND i = p.node_id JOIN n q ON r.movie = q.movie AND j = q.node_id WHERE a = 1 AND b = 1 AND d < 6)
+SELECT a.movie, a.node_id AS i, count(*) AS tis_n, median(mz) AS fz, median(my) AS fy, median(mx) AS fx FROM nn a JOIN an b ON a.movie = b.movie AND a.t = b.t AND a.node_id <> b.node_id WHERE {_DIST} <= 3 * greatest(nnd, 4.0) AND {_DIST} <= 45 GROUP BY ALL HAVING count(*) >= 2""")
+def sj_flow_anchor(spark, d):
+    """Median displacement of short mutual links around each node, within three times its nearest distance."""
+    n = _nodes(spark, d)
+    return ft.flow(n, sp.nearest_in_frame(n), lk.mutual_best(sp.next_frame_pairs(n)))
+
+
+@_query(f"WITH {_NODES} SELECT movie, node_id, t, z, y, x FROM n")
+def gr_coords_by_id(spark, d):
+    """Places by node."""
+    return _nodes(spark, d).select("movie", "node_id", "t", "z", "y", "x")
+
+
+@_query(f"""WITH {_NODES}, {_EDGES}, g AS (SELECT movie, source_id AS u, min(target_id) AS a, max(target_id) AS b FROM e GROUP BY ALL HAVING count(*) = 2), w AS ({SQL["sj_pair_triplets"].replace("WITH " + _NODES + ", ", "SELECT * FROM (WITH ")}))
+SELECT w.movie, w.u, d1, d2, CASE WHEN g.u IS NULL THEN 0 WHEN (d1 = a AND d2 = b) THEN 1 END AS y FROM w LEFT JOIN g ON w.movie = g.movie AND w.u = g.u""")
+def jn_triplet_label(spark, d):
+    """Label of a mother's pair: 1 if it is hers, none for her other pairs, 0 for those of nodes without two children."""
+    g = _edges(spark, d).groupBy("movie", F.col("source_id").alias("u")).agg(F.count(F.lit(1)).alias("k"), F.min("target_id").alias("a"), F.max("target_id").alias("b")).where("k = 2")
+    rows = sp.daughter_pairs(_nodes(spark, d)).join(g, ["movie", "u"], "left")
+    return rows.select("movie", "u", "d1", "d2", F.when(F.col("k").isNull(), 0).when((F.col("d1") == F.col("a")) & (F.col("d2") == F.col("b")), 1).alias("y"))
