@@ -33,6 +33,7 @@ def _grow(edges: DataFrame, by: list[str], level: int, beta: float, rounds: int)
     total = edges.count() * 2
     least = max(HOT_EDGES, total // 1000)
     hot = [r.asDict() for r in degree.where(F.col("n") > least).select(*by, "node", F.ceil(F.col("n") / least).cast("int").alias("parts")).collect()] if total > least else []
+    # every vertex tells itself its own centre at no cost, which keeps what it has
     reach = both.unionByName(own)
     labels = nodes.select(*by, "node", _start(by, level, beta).alias("at"), F.col("node").alias("center"))
     if hot:  # under a thousand vertices, as each has a thousandth of all edges
@@ -46,7 +47,7 @@ def _grow(edges: DataFrame, by: list[str], level: int, beta: float, rounds: int)
     return labels.select(*by, "node", "center")
 
 
-def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: float = 0.3, rounds: int = 6) -> DataFrame:
+def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: float = 0.5, rounds: int = 4) -> DataFrame:
     """(by, node, group_id) of every node that a pair links with another; group_id is the smallest node of the group.
 
     Level by level, vertices grow into clusters of low diameter from
@@ -66,16 +67,13 @@ def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: floa
         now = now.where(F.col(c).isNotNull())
     now, path = stages.write(now.distinct(), "edges")
     assigned: list[DataFrame] = []
-    smallest: list[DataFrame] = []
-    level = 0
-    while level == 0 or now.take(1):
-        center, _ = stages.write(_grow(now, by, level, beta, rounds), "assigned")
-        members = center
-        if smallest:
-            members = center.join(smallest[-1].withColumnsRenamed({"center": "node"}), [*by, "node"])
+    while not assigned or now.take(1):
+        center = _grow(now, by, len(assigned), beta, rounds)
+        if assigned:
+            center = center.join(_least(assigned[-1], by).withColumnRenamed("center", "node"), [*by, "node"])
         else:
-            members = center.withColumn("least", F.col("node"))
-        least, _ = stages.write(members.groupBy(*by, "center").agg(F.min("least").alias("least")), "least")
+            center = center.withColumn("least", F.col("node"))
+        center, _ = stages.write(center, "assigned")
         ca = center.select(*by, F.col("node").alias("a"), F.col("center").alias("ca"))
         cb = center.select(*by, F.col("node").alias("b"), F.col("center").alias("cb"))
         between = now.join(ca, [*by, "a"]).join(cb, [*by, "b"]).where("ca <> cb").select(*by, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
@@ -83,14 +81,18 @@ def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: floa
         stages.drop(path)
         now, path = new, new_path
         assigned.append(center)
-        smallest.append(least)
-        level += 1
     group = None
-    for center, least in zip(reversed(assigned), reversed(smallest)):
+    for center in reversed(assigned):
         # of each cluster the group it came to lie in, else its own smallest member
-        final = least
+        final = _least(center, by)
         if group is not None:
-            final = least.join(group.withColumnsRenamed({"node": "center"}), [*by, "center"], "left").select(*by, "center", F.coalesce("group_id", "least").alias("least"))
-        group = center.join(final, [*by, "center"]).select(*by, "node", F.col("least").alias("group_id"))
-        group, _ = stages.write(group, "group")
+            final = final.join(group.withColumnsRenamed({"node": "center"}), [*by, "center"], "left").select(*by, "center", F.coalesce("group_id", "least").alias("least"))
+        group = center.select(*by, "node", "center").join(final, [*by, "center"]).select(*by, "node", F.col("least").alias("group_id"))
+        if center is not assigned[0]:
+            group, _ = stages.write(group, "group")
     return group
+
+
+def _least(assigned: DataFrame, by: list[str]) -> DataFrame:
+    """Of each cluster the smallest node of the input among its members."""
+    return assigned.groupBy(*by, "center").agg(F.min("least").alias("least"))
