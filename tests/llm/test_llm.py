@@ -173,6 +173,9 @@ STUFFED = {
     "lines": "\n".join(["heater repair", "REPAIR HEATER", "Heater"] * 12),
     "links": "\n".join(f"Home » Next » Top https://www.a{k}.example/boots-sale?id={k}" for k in range(9)),
     "anchors": " ".join(f"[cheap boots](http://b{k}.test/boots.html)" for k in range(9)),
+    "semicolons": "; ".join(f"cheap tyres in Town{chr(97 + k)}ham" for k in range(20)),
+    "punctuated": "Shop order canal order? Shop canal canal! Order shop? Shop order shop shop! Shop shop. Buy shop vitamins canal. " * 4,
+    "labels": " ".join(f"Tag: soldes{chr(97 + k)}Boots;" for k in range(20)),
     "tags": "Click here for further details today. " + " ".join(f"#tyres{k} #sofaBoots #sale" for k in range(12)),
     "products": "\n".join(f"Boots sale {k} mm pro {100 + k},95 #{4000 + k}" for k in range(9)),
     "mixed": SPEECH + "sofa tyres sofa boots tyres sofa boots sofa tyres boots sofa sofa boots tyres " * 5,
@@ -199,11 +202,12 @@ def test_stuffed_pages(spark):
 
 def test_keyword_windows_equal_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        words = [str(x) for x in rng.integers(0, rng.integers(2, 30), rng.integers(0, 90))]
-        hit = set()
-        for k in range(max(1, len(words) - 19)):
-            part = words[k : k + 20]
-            if len(part) >= 6 and len(set(part)) <= 0.5 * len(part):
-                hit |= set(range(k, k + len(part)))
-        assert shapes.keyword_words(words, 20, 0.5) == len(hit)
+    for _ in range(80):
+        words = [f"{'ab' if x < 4 else 'word'}{chr(97 + x)}" for x in rng.integers(0, rng.integers(2, 26), rng.integers(0, 90))]
+        for short in (None, 2):
+            want = [False] * len(words)
+            for k in range(max(1, len(words) - 19)):
+                part = words[k : k + 20]
+                if len(part) >= 6 and len(set(part)) <= 0.5 * len(part) and sum(map(len, part)) >= 3.5 * len(part) and (short is None or len({w for w in part if len(w) <= 3}) <= short):
+                    want[k : k + len(part)] = [True] * len(part)
+            assert shapes.keyword_places(words, 20, 0.5, short) == want

@@ -2,14 +2,14 @@
 
 A page is cut into *pieces*: lines, and within a line sentences.  Stretches of
 pieces without a sentence end form one *run*.  Every piece gets a shape from
-its word count, its links, its tag marks, its prices and, for runs, from how
-few different words it needs:
+its word count, its links, its tag marks and its prices; words outside such pieces from how
+few different ones a stretch needs:
 
 ``link``      links with at most a few other words per link (anchor texts, navigation)
-``tag``       mostly words marked as tags (``#word``, ``<word>``, ``word+``, ``word (31)``)
+``tag``       mostly words marked as tags (``#word``, ``»word``, ``<word>``, ``word+``, ``word (31)``, ``Tag: word``)
 ``product``   a price every few words
-``keyword``   a window of words in which at most half are different, outside sentences: either hardly any
-              short words as sentences need them, or list items of few words each
+``keyword``   a window of words in which at most half are different: either with at most two
+              different short words, as sentences need more, or in a run of list items of few words each
 ``reference`` links to numbered papers; neutral, as records of proceedings have them
 ``sentence``  everything else
 """
@@ -25,12 +25,12 @@ _HOST = r"[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|info|biz|shop
 _LINK = re.compile(rf"(?:https?://|www\.)[^\s\])\">|]+|(?<![\w.@/])(?:{_HOST})(?:[/?][^\s\])\">|]*)?", re.I)
 #: A link whose path is one word and a number names a paper of the house, such as /annex/12.
 _REFERENCE = re.compile(r"^(?:https?://)?[^/]+/(?:annex|annexe|anlage|doc|document|paper|papers|reference)s?/\d+$", re.I)
-_END = re.compile(r"(?<=[.!?…;:])[\"”»')\]]*\s+")
+_END = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+")
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"(?:(?<!\S)|(?<=[\s,;]))(?:#[^\W_]+(?: [A-Z][^\W_]*(?=\s|$))?|<[^\W_]+(?: [^\W_]+)?>|[^\W_]+\+(?=\s|$)|[^\W_]+ \(\d+\)(?=\s|,|$))")
+_TAG = re.compile(r"(?:(?<!\S)|(?<=[\s,;]))(?:[#»›•*~@^%=][^\W_]+(?: [A-Z][^\W_]*(?=\s|$))?|<[^\W_]+(?: [^\W_]+)?>|[^\W_]+\+(?=\s|$)|[^\W_]+ \(\d+\)(?=\s|,|$)|[Tt]ags?: ?[^\W_]+)")
 _PRICE = re.compile(r"(?<![\w.,/-])\d{1,5}[.,](?:\d\d|-)(?![\w-])|[€$£]\s?\d")
 _MAY_LINK = re.compile(r"://|www\.|[\w-]\.[a-z]{2,7}\b", re.I)
-_MAY_TAG = re.compile(r"[#<]\w|\w\+|\w \(\d")
+_MAY_TAG = re.compile(r"[#»›•*~@^%=<]\w|\w\+|\w \(\d|[Tt]ags?: ?\w")
 _ITEM = re.compile(r"[,;|/·•]")
 _MARKUP = re.compile(r"</?a\b|href=|\[/?url\b=?|</?li>|</?p>|</?br ?/?>", re.I)
 
@@ -39,43 +39,42 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def keyword_words(words: list[str], window: int, most: float) -> int:
-    """Words that lie in a window of ``window`` words of which at most the share ``most`` is different.
+def keyword_places(words: list[str], window: int, most: float, short_types: int | None = None, letters: float = 3.5, piece: list[int] | None = None, item_words: float = 5) -> list[bool]:
+    """Of each word whether it lies in a window of ``window`` words of which at most the share ``most`` is different.
 
-    Runs shorter than the window are one window; under six words nothing repeats enough to tell.
+    A window counts only with at most ``short_types`` different words of up to three letters, if given
+    (``buy`` and ``pas`` are keywords too), and with at least ``letters`` letters a word, as text of broken encoding
+    falls into bits of one or two.  Given the number of each word's ``piece``, it counts only if its pieces have at most
+    ``item_words`` words each.  A sequence shorter than the window is one window; under six words
+    nothing repeats enough to tell.
     """
     n = len(words)
     if n < 6 or n - len(set(words)) < (1 - most) * min(n, window):
-        return 0
-    if n <= window:
-        return n
+        return [False] * n
+    window = min(n, window)
     counts: dict[str, int] = {}
+    short = size = 0
     hit = [0] * (n + 1)
     for k, w in enumerate(words):
         counts[w] = counts.get(w, 0) + 1
+        small = len(w) <= 3 and w.isalpha()
+        short += small and counts[w] == 1
+        size += len(w)
         if k >= window:
             old = words[k - window]
             counts[old] -= 1
+            size -= len(old)
             if not counts[old]:
                 del counts[old]
-        if k >= window - 1 and len(counts) <= most * window:
+                short -= len(old) <= 3 and old.isalpha()
+        if k >= window - 1 and len(counts) <= most * window and size >= letters * window and (short_types is None or short <= short_types) and (piece is None or window <= item_words * (piece[k] - piece[k - window + 1] + 1)):
             hit[k - window + 1] += 1
             hit[k + 1] -= 1
-    open_, total = 0, 0
+    out, open_ = [], 0
     for k in range(n):
         open_ += hit[k]
-        total += open_ > 0
-    return total
-
-
-def strung(words: list[str], items: int, short_share: float = 0.12, item_words: float = 5, letters: float = 3.5) -> bool:
-    """Whether repeated words are strung together rather than said: hardly any short words between them, at most two
-    different ones (``buy``, ``pas``), or a list of short items.  Text of broken encoding falls into bits of few
-    letters and is neither."""
-    if sum(map(len, words)) < letters * len(words):
-        return False
-    short = [w for w in words if len(w) <= 3 and w.isalpha()]
-    return len(short) < short_share * len(words) or len(set(short)) <= 2 or len(words) <= item_words * items
+        out.append(open_ > 0)
+    return out
 
 
 def pieces(text: str) -> Iterator[tuple[str, bool]]:
@@ -89,7 +88,7 @@ def pieces(text: str) -> Iterator[tuple[str, bool]]:
                 yield part, k < len(parts) - 1 or part.rstrip(" \"”»')]").endswith((".", "!", "?", "…"))
 
 
-def line_shapes(text: str | None, window: int = 40, most: float = 0.5, per_link: int = 6, per_price: int = 14) -> list[tuple[str, int, int]]:
+def line_shapes(text: str | None, window: int = 40, most: float = 0.5, short_types: int = 2, item_words: float = 5, per_link: int = 6, per_price: int = 14) -> list[tuple[str, int, int]]:
     """``(shape, words, pieces)`` of a text; null, empty and wordless texts have none."""
     found: dict[str, list[int]] = {}
 
@@ -98,22 +97,20 @@ def line_shapes(text: str | None, window: int = 40, most: float = 0.5, per_link:
         x[0] += words
         x[1] += n
 
-    run: list[str] = []
-    run_pieces = items = 0
+    said: list[str] = []  # words outside links, tags and product lines
+    piece: list[int] = []
+    marked: list[bool] = []
+    start = items = total_pieces = 0
     text = text or ""
     any_link, any_tag = bool(_MAY_LINK.search(text)), bool(_MAY_TAG.search(text))
     any_price = len(_PRICE.findall(text)) >= 3  # a single price is a remark
 
     def close() -> None:
-        nonlocal run, run_pieces, items
-        if run:
-            k = keyword_words(run, window, most)
-            k = k if k and strung(run, items) else 0
-            if k:
-                add("keyword", k, run_pieces)
-            if len(run) - k:
-                add("sentence", len(run) - k, run_pieces)
-        run, run_pieces, items = [], 0, 0
+        nonlocal start, items
+        run = said[start:]
+        listed = len(run) <= item_words * items
+        marked.extend(keyword_places(run, window, most, None if listed else short_types))
+        start, items = len(said), 0
 
     for part, ended in pieces(text):
         links = [m.group() for m in _LINK.finditer(part)] if any_link else []
@@ -147,12 +144,19 @@ def line_shapes(text: str | None, window: int = 40, most: float = 0.5, per_link:
             continue
         if ended and len(words) < 6:
             close()
-            add("sentence", len(words))
-            continue
-        run += words
-        run_pieces += 1
+        said += words
+        piece += [total_pieces] * len(words)
+        total_pieces += 1
         items += sum(1 for x in _ITEM.split(rest) if x.strip())
         if ended:
             close()
     close()
+    # keywords with marks of sentences strewn in show only across these, as sentences of few words
+    # (sentences of five words may be a plain refrain, and under half a window too little is said to tell)
+    across = keyword_places(said, window, most, short_types, piece=piece, item_words=item_words - 1) if 2 * len(said) >= window else marked
+    keywords = sum(a or b for a, b in zip(marked, across))
+    if keywords:
+        add("keyword", keywords, total_pieces)
+    if len(said) > keywords:
+        add("sentence", len(said) - keywords, total_pieces)
     return [(shape, w, n) for shape, (w, n) in sorted(found.items())]
