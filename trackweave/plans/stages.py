@@ -24,11 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: How many times as large rows are in memory as in a compressed file.  Spark's default of 1 would let the size of a
+#: file pass for that of its rows, and broadcast tables several times over the session's threshold.
+GROWN = "8.0"
+
+
 class Stages:
-    """Names and drops the written tables of one run of an operator."""
+    """Names and drops the written tables of one run of an operator.
+
+    Raises ``spark.sql.sources.fileCompressionFactor`` of the session to GROWN where it has the default.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
+            spark.conf.set("spark.sql.sources.fileCompressionFactor", GROWN)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
