@@ -1 +1,8 @@
 """Object-tracking analytics and training-data operators on Apache Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are sent whole, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
