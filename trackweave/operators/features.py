@@ -40,10 +40,10 @@ def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: st
     vel = parents.where("k = 1").join(before, ["movie", "parent"])
     kids = first.select("movie", F.col("i").alias("node_id"), F.lit(1).alias("fut")).distinct()
     rich = nodes.join(nnd, ["movie", "node_id"]).join(vel, ["movie", "node_id"], "left").join(kids, ["movie", "node_id"], "left").join(parents.select("movie", "node_id", F.lit(1).alias("past")), ["movie", "node_id"], "left")
-    last = nodes.groupBy("movie").agg((F.max("t") + 1).alias("T"))
+    last = nodes.groupBy("movie").agg((F.max("t") + 1).alias("frames"))
     rich = rich.join(last, "movie")
-    rich, _ = stages.write(rich.select("movie", "node_id", "t", *(F.col(f"{c}_um").alias(c) for c in AXES), "nnd", "seed", "size", F.col("k").isNotNull().cast("int").alias("known"), *((F.coalesce(F.col(f"{c}_um") - F.col(f"{c}_b"), F.lit(0.0))).alias(f"v{c}") for c in AXES), F.coalesce("fut", F.lit(0)).alias("fut"), F.coalesce("past", F.lit(0)).alias("past"), "T"), "rich")
-    a = rich.select("movie", F.col("node_id").alias("i"), *(F.col(c).alias(f"{c}_i") for c in (*AXES, "nnd", "seed", "size", "t", "T", "known", "past", "vz", "vy", "vx")))
+    rich, _ = stages.write(rich.select("movie", "node_id", "t", *(F.col(f"{c}_um").alias(c) for c in AXES), "nnd", "seed", "size", F.col("k").isNotNull().cast("int").alias("known"), *((F.coalesce(F.col(f"{c}_um") - F.col(f"{c}_b"), F.lit(0.0))).alias(f"v{c}") for c in AXES), F.coalesce("fut", F.lit(0)).alias("fut"), F.coalesce("past", F.lit(0)).alias("past"), "frames"), "rich")
+    a = rich.select("movie", F.col("node_id").alias("i"), *(F.col(c).alias(f"{c}_i") for c in (*AXES, "nnd", "seed", "size", "t", "frames", "known", "past", "vz", "vy", "vx")))
     b = rich.select("movie", F.col("node_id").alias("j"), *(F.col(c).alias(f"{c}_j") for c in (*AXES, "nnd", "seed", "size", "fut")))
     rows = lk.distance_ranks(links).join(a, ["movie", "i"]).join(b, ["movie", "j"]).join(flow(nodes, nnd, first), ["movie", "i"], "left")
     cap = lambda c: F.least(c, F.lit(CAP))
@@ -53,7 +53,7 @@ def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: st
         "movie", "i", "j", "d", *((F.col(f"{c}_j") - F.col(f"{c}_i")).alias(f"d{c}") for c in AXES), (F.col("d") / F.greatest("nnd_i", F.lit(1.0))).alias("d_nnd"),
         "nnd_i", "nnd_j", "seed_i", "seed_j", "size_i", "size_j", "rank_ij", "rank_ji", "ncand_i", "ncand_j", cap(F.col("d2_i")).alias("d2_i"), cap(F.col("d2_j")).alias("d2_j"),
         cap(norm(gone("v"))).alias("vel_res"), F.col("known_i").alias("vel_known_i"), cap(F.coalesce(norm(gone("f")), "d")).alias("tis_res"), F.coalesce("tis_n", F.lit(0)).alias("tis_n"), "fut_j", F.col("past_i"),
-        ((F.col("rank_ij") == 0) & (F.col("rank_ji") == 0)).cast("int").alias("mutual"), F.col("z_i"), (F.col("t_i") / F.col("T_i")).alias("t_frac"),
+        ((F.col("rank_ij") == 0) & (F.col("rank_ji") == 0)).cast("int").alias("mutual"), F.col("z_i"), (F.col("t_i") / F.col("frames_i")).alias("t_frac"),
     )
 
 
