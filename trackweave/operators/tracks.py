@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.geometry import AXES, distance, points
+from trackweave.operators.components import connected
 from trackweave.operators.hierarchy import best_parents, hierarchy
 from trackweave.operators.spatial import radius_join
 from trackweave.plans.stages import Stages
@@ -25,14 +26,14 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.join(best, ["movie", "source_id", "target_id"], "left_semi").select("movie", "source_id", "target_id", "p")
 
 
-def components(nodes: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(movie, node_id, comp, n): the founding node of each node's tree and the tree's size; cycles are one each by movie (-1).
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(movie, node_id, comp, n): the smallest node that edges, in whatever direction, link each node with, and how many of ``nodes`` they link.
 
-    ``tracks`` gives a node at most one parent, so trees are found by doubled pointers.
+    A node may have several parents, and edges may form cycles.
     """
-    tree = hierarchy(tracks.select("movie", F.col("target_id").alias("node"), F.col("source_id").alias("parent")), ["movie"])
-    rows = nodes.select("movie", "node_id").join(tree.withColumnRenamed("node", "node_id"), ["movie", "node_id"], "left")
-    rows = rows.select("movie", "node_id", F.coalesce("root_id", "node_id").alias("comp"))
+    found = connected(edges, ["movie"], "source_id", "target_id")
+    rows = nodes.select("movie", "node_id").join(found.withColumnRenamed("node", "node_id"), ["movie", "node_id"], "left")
+    rows = rows.select("movie", "node_id", F.coalesce("comp", "node_id").alias("comp"))
     sizes = rows.groupBy("movie", "comp").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(sizes, ["movie", "comp"]).select("movie", "node_id", "comp", "n")
 
@@ -46,13 +47,19 @@ def long_tracks(nodes: DataFrame, tracks: DataFrame, least: int, keep_divisions:
     return rows.where((F.col("n") >= least) | (F.lit(keep_divisions) & F.coalesce("fork", F.lit(False)))).select("movie", "node_id", "comp")
 
 
-def segments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(movie, node_id, segment): chains of edges whose source has one child and whose target one parent, by their first node."""
+def segments(nodes: DataFrame, edges: DataFrame, one_cycle: bool = False) -> DataFrame:
+    """(movie, node_id, segment): chains of edges whose source has one child and whose target one parent, by their first node.
+
+    A chain that is a cycle has no first node: each of its nodes is a segment of its own or, with ``one_cycle``, all those of a movie are one (-1).
+    """
     one = edges.select("movie", "source_id", "target_id").distinct()
     outs = one.groupBy("movie", "source_id").agg(F.count(F.lit(1)).alias("o")).where("o = 1")
     ins = one.groupBy("movie", "target_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
     chain = one.join(outs, ["movie", "source_id"], "left_semi").join(ins, ["movie", "target_id"], "left_semi")
-    return components(nodes, chain).select("movie", "node_id", F.col("comp").alias("segment"))
+    tree = hierarchy(chain.select("movie", F.col("target_id").alias("node"), F.col("source_id").alias("parent")), ["movie"])
+    first = F.col("root_id") if one_cycle else F.when(F.col("depth") >= 0, F.col("root_id"))
+    rows = nodes.select("movie", "node_id").join(tree.withColumnRenamed("node", "node_id"), ["movie", "node_id"], "left")
+    return rows.select("movie", "node_id", F.coalesce(first, "node_id").alias("segment"))
 
 
 def forks(edges: DataFrame) -> DataFrame:

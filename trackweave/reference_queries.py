@@ -483,16 +483,16 @@ def _recursive(ctes: str, edges: str) -> str:
 
 @_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + " SELECT movie, node_id, comp, count(*) OVER (PARTITION BY movie, comp) AS n FROM cc")
 def gr_components(spark, d):
-    """Tree of every node by its founder, and the tree's size."""
-    return tr.components(_nodes(spark, d), tr.forest(_edges(spark, d)))
+    """Component of every node over all edges by its smallest node, and the component's size."""
+    return tr.components(_nodes(spark, d), _edges(spark, d))
 
 
 @_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + """, sz AS (SELECT movie, comp, count(*) AS k FROM cc GROUP BY ALL),
 fk AS (SELECT DISTINCT cc.movie, comp FROM cc WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM f GROUP BY movie, source_id HAVING count(*) >= 2))
 SELECT cc.movie, node_id, cc.comp FROM cc JOIN sz ON cc.movie = sz.movie AND cc.comp = sz.comp WHERE k >= 3 OR (cc.movie, cc.comp) IN (SELECT (movie, comp) FROM fk)""")
 def gr_filter_short(spark, d):
-    """Trees of at least three nodes or with a division."""
-    return tr.long_tracks(_nodes(spark, d), tr.forest(_edges(spark, d)), 3)
+    """Components of at least three nodes or with a division."""
+    return tr.long_tracks(_nodes(spark, d), _edges(spark, d), 3)
 
 
 _CHAIN = "SELECT * FROM e WHERE (movie, source_id) IN (SELECT (movie, source_id) FROM e GROUP BY movie, source_id HAVING count(*) = 1) AND (movie, target_id) IN (SELECT (movie, target_id) FROM e GROUP BY movie, target_id HAVING count(*) = 1)"
@@ -500,8 +500,8 @@ _CHAIN = "SELECT * FROM e WHERE (movie, source_id) IN (SELECT (movie, source_id)
 
 @_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + " SELECT movie, node_id, comp AS segment FROM cc")
 def gr_segments(spark, d):
-    """Maximal chains without forks and merges, by their first node."""
-    return tr.segments(_nodes(spark, d), _edges(spark, d))
+    """Maximal chains without forks and merges, by their first node; as in the SQL, cyclic ones are one each by movie (-1)."""
+    return tr.segments(_nodes(spark, d), _edges(spark, d), one_cycle=True)
 
 
 @_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + f""", r AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, target_id) FROM e)), su AS (SELECT a.movie, a.node_id,
@@ -831,10 +831,10 @@ def tj_next_frame(spark, d):
  EXISTS (SELECT 1 FROM r b WHERE b.movie = a.movie AND b.t = a.t AND {_DIST} <= 6) AS s FROM n a), sh AS (SELECT cc.movie, comp, avg(s::INT) AS share FROM cc JOIN su ON cc.movie = su.movie AND cc.node_id = su.node_id GROUP BY ALL)
 SELECT cc.movie, cc.node_id, cc.comp, round(share, 6) AS share FROM cc JOIN sh ON cc.movie = sh.movie AND cc.comp = sh.comp WHERE share >= 0.5""")
 def ag_component_support(spark, d):
-    """Nodes of trees of which at least half is supported within 6 um."""
+    """Nodes of components of which at least half is supported within 6 um."""
     n, e = _nodes(spark, d), _edges(spark, d)
     ref = n.join(e.select("movie", F.col("source_id").alias("node_id")), ["movie", "node_id"], "left_semi")
-    rows = tr.components(n, tr.forest(e)).join(sp.supported(n, ref, 6.0), ["movie", "node_id"])
+    rows = tr.components(n, e).join(sp.supported(n, ref, 6.0), ["movie", "node_id"])
     share = rows.groupBy("movie", "comp").agg(F.avg(F.col("supported").cast("int")).alias("share")).where("share >= 0.5")
     return rows.join(share, ["movie", "comp"]).select("movie", "node_id", "comp", F.round("share", 6).alias("share"))
 
