@@ -84,3 +84,9 @@ def rescued(links: DataFrame, prior: DataFrame, least_prior: float = 0.2, thresh
     rows = links.join(prior.withColumnRenamed("node_id", "i"), ["movie", "i"], "left").withColumn("s", F.coalesce("score", F.lit(0.0))).withColumn("r", rank)
     used = F.when((F.col("r") > 1) & (F.col("s") >= least_prior), F.greatest("p", F.coalesce("alt", F.lit(0.0)))).otherwise(F.col("p"))
     return rows.withColumn("used", used).where(F.col("used") > F.greatest(F.lit(threshold) - F.lit(relax) * F.col("s"), F.lit(0.0))).select("movie", "i", "j", "p", "used")
+
+
+def strongest(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (movie, source, t, i, j, p, ...) with the ``most`` highest p of each movie, source and frame, ties by (i, j); those without a frame all stay."""
+    rank = F.row_number().over(Window.partitionBy("movie", "source", "t").orderBy(F.desc("p"), "i", "j"))
+    return rows.withColumn("_r", rank).where((F.col("_r") <= most) | F.col("t").isNull()).drop("_r")

@@ -19,7 +19,10 @@ from trackweave.operators import samples as sm
 from trackweave.operators import scoring as sc_
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
-from trackweave.sources.tables import SCALE_ZYX, current_scores, known_nodes, located_nodes, table, valid_edges
+from trackweave.sources.tables import SCALE_ZYX, current_rows, current_scores, known_nodes, located_nodes, table, valid_edges
+
+#: Peaks the reference keeps of a movie's frame.
+MOST_PEAKS = 40_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -867,9 +870,10 @@ def wn_trend(spark, d):
 
 @_query(f"WITH {_SCORES} SELECT movie, source, i, j, p FROM (SELECT *, row_number() OVER (PARTITION BY movie, source ORDER BY p DESC, i, j) AS r FROM s) WHERE r <= 40")
 def so_max_peaks(spark, d):
-    """The 40 strongest links of each movie and evidence."""
-    rank = F.row_number().over(Window.partitionBy("movie", "source").orderBy(F.desc("p"), "i", "j"))
-    return _scores(spark, d).withColumn("r", rank).where("r <= 40").select("movie", "source", "i", "j", "p")
+    """The 40,000 strongest links of each movie, evidence and frame of the source node; all of those whose source has no frame."""
+    rows = table(spark, d, "track_nodes").where("movie is not null and node_id is not null")
+    frames = current_rows(rows, ["movie", "node_id"], "ingested_at", ["t", *AXES]).select("movie", F.col("node_id").alias("i"), "t")
+    return lk.strongest(_scores(spark, d).join(frames, ["movie", "i"], "left"), MOST_PEAKS).select("movie", "source", "i", "j", "p")
 
 
 @_query()
