@@ -156,27 +156,50 @@ def gap_pairs(nodes: DataFrame, edges: DataFrame, max_gap: int = 2, step: float
     return pairs.join(taken, ["movie", "e", "s", "gap"], "left_anti").select("movie", "e", "s", "gap", "d")
 
 
-def bridges(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+def bridges(pairs: DataFrame) -> DataFrame:
     """One-to-one bridges (movie, e, s, gap, d) of ``gap_pairs``: shorter gaps first, then by (d, e, s), greedily.
 
     In each round the pairs that are first for both their ends are taken and the
-    rest of these ends' pairs dropped; that takes the same pairs as one sorted pass.
+    rest of these ends' pairs dropped, until no pair is left; that takes the same pairs as one sorted pass.
+    Piles of ends and starts (``_piled``) are matched in one round.
     """
     stages = Stages(pairs.sparkSession, "bridges")
-    order = F.struct("gap", "d", "e", "s")
-    left, path = stages.write(pairs, "left")
-    taken = None
-    for _ in range(most_rounds):
-        be = left.groupBy("movie", "e").agg(F.min(order).alias("be"))
-        bs = left.groupBy("movie", "s").agg(F.min(order).alias("bs"))
-        first, _ = stages.write(left.join(be, ["movie", "e"]).join(bs, ["movie", "s"]).where((F.col("be") == order) & (F.col("bs") == order)).select("movie", "e", "s", "gap", "d"), "taken")
-        taken = first if taken is None else taken.unionByName(first)
-        if not first.take(1):
-            break
+    left, path = stages.write(pairs.select("movie", "e", "s", "gap", "d"), "left")
+    done: list[str] = []
+    while not done or left.take(1):
+        ends = _nearest(left, "e", "s")
+        starts = _nearest(left, "s", "e")
+        near, near_path = stages.write(left.join(ends, ["movie", "e", "gap", "d"]).join(starts, ["movie", "s", "gap", "d"]), "near")
+        first = near.where("s = first_s and e = first_e").select("movie", "e", "s", "gap", "d")
+        if near.where("n_s > 1 and n_e > 1").take(1):
+            first = first.unionByName(_piled(near)).distinct()
+        first, first_path = stages.write(first, "taken")
+        done.append(first_path)
         left, new = stages.write(left.join(first.select("movie", "e"), ["movie", "e"], "left_anti").join(first.select("movie", "s"), ["movie", "s"], "left_anti"), "left")
-        stages.drop(path)
+        stages.drop(path, near_path)
         path = new
-    return taken
+    return pairs.sparkSession.read.schema(first.schema).parquet(*done)
+
+
+def _nearest(pairs: DataFrame, own: str, other: str) -> DataFrame:
+    """(movie, own, gap, d, n_other, first_other): the least (gap, d) of each node's pairs, how many pairs have it and the smallest partner of these."""
+    level = pairs.groupBy("movie", own, "gap", "d").agg(F.count(F.lit(1)).alias("n"), F.min(other).alias("first"))
+    best = level.groupBy("movie", own).agg(F.min(F.struct("gap", "d", "n", "first")).alias("b"))
+    return best.select("movie", own, "b.gap", "b.d", F.col("b.n").alias(f"n_{other}"), F.col("b.first").alias(f"first_{other}"))
+
+
+def _piled(near: DataFrame) -> DataFrame:
+    """(movie, e, s, gap, d) of piles: ends and starts of which each is nearest to all of the other side and to none else, as where all
+    ends lie in one place and all starts in one.  A sorted pass gives the k-th end the k-th start."""
+    key = ["movie", "gap", "d", "first_e", "first_s"]
+    many = near.where("n_s > 1 and n_e > 1")
+    rank = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by)).alias("k")
+    ends, starts = many.select(*key, "e", "n_s").distinct(), many.select(*key, "s", "n_e").distinct()
+    full = many.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    full = full.join(ends.groupBy(*key).agg(F.count(F.lit(1)).alias("a"), F.max("n_s").alias("most_s")), key).join(starts.groupBy(*key).agg(F.count(F.lit(1)).alias("b"), F.max("n_e").alias("most_e")), key)
+    full = full.where("n = a * b and most_s = b and most_e = a").select(*key)
+    rows = ends.select(*key, "e", rank("e")).join(starts.select(*key, "s", rank("s")), [*key, "k"]).join(full, key, "left_semi")
+    return rows.select("movie", "e", "s", "gap", "d")
 
 
 def spaced(nodes: DataFrame, radius: float, score: str, most_rounds: int = 1000) -> DataFrame:
