@@ -862,10 +862,10 @@ st AS (SELECT user_id, t, v, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS r, max
 SELECT st.user_id, count(*) AS n, round(coalesce(max(slope), 0), 6) AS slope, round(coalesce(count(*) FILTER (r > 0)::DOUBLE / nullif(count(r), 0), 0), 6) AS rising, round(arg_max(v, t) - max(v0), 6) AS net, round(max(fall), 6) AS draw_down,
 round(coalesce(sum(greatest(-r, 0)), 0), 6) AS decrease, round(count(*) FILTER (v > v0)::DOUBLE / count(*), 6) AS above, round(coalesce(min(r), 0), 6) AS min_step, round(coalesce(max(r), 0), 6) AS max_step, max(t) - min(t) AS span FROM st LEFT JOIN sl ON st.user_id = sl.user_id GROUP BY st.user_id""")
 def wn_trend(spark, d):
-    """Trend statistics of each user's daily best value."""
+    """The 12 trend statistics of each user's daily best value; ``decrease`` is the sum of the falls."""
     ev = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t"), "value").where("user_id is not null")
-    out = sm.trend(ev, ["user_id"], "t", "value")
-    return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("slope", "rising", "net", "draw_down", "decrease", "above", "min_step", "max_step")), "span")
+    out = sm.trend(ev, ["user_id"], "t", "value").withColumn("decrease", F.col("fallen"))
+    return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("slope", "rising", "net", "draw_down", "decrease", "spread", "relative", "above", "min_step", "max_step")), "span")
 
 
 @_query(f"WITH {_SCORES} SELECT movie, source, i, j, p FROM (SELECT *, row_number() OVER (PARTITION BY movie, source ORDER BY p DESC, i, j) AS r FROM s) WHERE r <= 40")
