@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.operators.hierarchy import _doubled
+from trackweave.functions.skew import spread_join
+from trackweave.operators.hierarchy import climb
 from trackweave.plans.stages import Stages
 
 
@@ -24,19 +25,25 @@ def connected(edges: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
         now = now.where(F.col(c).isNotNull())
     now, path = stages.write(now.distinct(), "edges")
     levels: list[DataFrame] = []
-    while not levels or now.take(1):
+    left = 1
+    while left:
         both = now.select(*by, F.col("b").alias("node"), F.col("a").alias("up")).unionByName(now.select(*by, F.col("a").alias("node"), F.col("a").alias("up")))
         links = both.groupBy(*by, "node").agg(F.min("up").alias("up"))
-        ends, _ = _doubled(stages, links.select(*by, "node", "up", (F.col("up") < F.col("node")).cast("long").alias("hops")), by)
-        ends = ends.select(*by, "node", F.col("up").alias("comp"))
+        links, _ = stages.write(links, "links")
+        moving, _, _ = climb(stages, links.where("up < node").select(*by, "node", "up", F.lit(1).alias("hops")), by)
+        ends = moving.select(*by, "node", F.col("top").alias("comp")).unionByName(links.where("up = node").select(*by, "node", F.col("up").alias("comp")))
+        ends, _ = stages.write(ends, "ends")
         levels.append(ends)
         ca, cb = (ends.withColumnsRenamed({"node": k, "comp": f"c{k}"}) for k in "ab")
-        between = now.join(ca, [*by, "a"]).join(cb, [*by, "b"]).where("ca <> cb").select(*by, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        new, new_path = stages.write(between, "edges")
-        stages.drop(path)
+        half, half_path = stages.write(spread_join(now, ca, [*by, "a"], "b"), "half")
+        between = spread_join(half, cb, [*by, "b"], "a").where("ca <> cb").select(*by, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        new, new_path, left = stages.counted(between, "edges", F.lit(True))
+        stages.drop(path, half_path)
         now, path = new, new_path
     found = levels[-1]
     for ends in reversed(levels[:-1]):
         over = found.select(*by, F.col("node").alias("comp"), F.col("comp").alias("_over"))
-        found, _ = stages.write(ends.join(over, [*by, "comp"], "left").select(*by, "node", F.coalesce("_over", "comp").alias("comp")), "found")
-    return found
+        found = spread_join(ends, over, [*by, "comp"], "node", "left").select(*by, "node", F.coalesce("_over", "comp").alias("comp"))
+        if ends is not levels[0]:
+            found, _ = stages.write(found, "found")
+    return stages.result(found)

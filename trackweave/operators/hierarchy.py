@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.skew import spread_join
 from trackweave.plans.stages import Stages
 
 
@@ -14,22 +17,40 @@ def best_parents(edges: DataFrame, by: list[str], parent: str, child: str, score
     return edges.groupBy(*by, F.col(child).alias("node")).agg(best.alias("_b")).select(*by, "node", F.col("_b._parent").alias("parent"))
 
 
-def _doubled(stages: Stages, links: DataFrame, by: list[str], most_rounds: int = 64) -> tuple[DataFrame, str]:
-    """Pointer doubling over ``(by, node, up, hops)`` with ``up`` the node itself and 0 hops at a top.
+def climb(stages: Stages, links: DataFrame, by: list[str], sums: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Doubled pointers over ``(by, node, up, hops)``, one row for every node that has an ``up``.
+
+    Gives (by, node, top, hops): the node without an ``up`` at the end of each chain and the sum of the hops to it; (by, node) of those
+    that hang on a cycle; and with ``sums`` (by, node, below), how many nodes lie under each that has any.
 
-    Ends when no pointer moves.
+    A round moves the pointers that have not reached a top, and looks up each node's pointer once by the node; a hot top is
+    never a key of finished rows.  A pointer in round k spans 2**k links; when no pointer ends in a round, all that are left are on cycles.
     """
-    links, path = stages.write(links, "double")
-    for _ in range(most_rounds):
-        above = links.select(*by, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops")).where("_hops > 0")
-        moved = links.join(above, [*by, "up"], "left")
-        new, new_path = stages.write(moved.select(*by, "node", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_up").isNotNull().alias("moved")), "double")
-        more = bool(new.where("moved").take(1))
-        stages.drop(path)
-        links, path = new.drop("moved"), new_path
-        if not more:
+    spark, kind = links.sparkSession, links.schema["node"].dataType
+    first = links.select(*by, "node", "up", F.col("hops").cast("long").alias("hops"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("fin"))
+    rows, path, left = stages.counted(first, "still", ~F.col("fin"))
+    ended, added = [path], []
+    while left:
+        still = rows.where("not fin")
+        # every node's pointer: those of this round and those that ended before
+        every = spark.read.schema(rows.schema).parquet(*ended).where("fin").unionByName(still) if len(ended) > 1 else still
+        step = every.select(*by, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("fin").alias("_fin"))
+        moved = spread_join(still, step, [*by, "up"], "node", "left", total=left)
+        if sums:
+            caps, caps_path = stages.write(still.groupBy(*by, F.col("up").alias("node")).agg(F.sum("size").alias("below")), "caps")
+            added.append(caps_path)
+            moved = moved.join(caps, [*by, "node"], "left").withColumn("size", F.col("size") + F.coalesce("below", F.lit(0)))
+        fin = F.col("_up").isNull() | F.col("_fin")
+        moved = moved.select(*by, "node", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), "size", fin.alias("fin"))
+        before, (rows, path, left) = left, stages.counted(moved, "moved", ~F.col("fin"))
+        ended.append(path)
+        if left == before:
             break
-    return links, path
+    done = spark.read.schema(rows.schema).parquet(*ended).where("fin").select(*by, "node", F.col("up").cast(kind).alias("top"), "hops")
+    if not sums:
+        return done, rows.where("not fin").select(*by, "node"), None
+    below = spark.read.schema(caps.schema).parquet(*added).groupBy(*by, "node").agg(F.sum("below").alias("below")) if added else links.select(*by, "node", F.lit(0).cast("long").alias("below"))
+    return done, rows.where("not fin").select(*by, "node"), below
 
 
 def hierarchy(parents: DataFrame, by: list[str], paths: bool = False) -> DataFrame:
@@ -38,10 +59,8 @@ def hierarchy(parents: DataFrame, by: list[str], paths: bool = False) -> DataFra
     ``parents`` has ``(by, node, parent)``, one row a node; a parent without a row is a
     root.  Rows with a null are left out; of a node with several parents the smallest counts.
 
-    1. Doubled pointers with subtree sums: after round k a node knows its 2**k-th
-       ancestor and how many descendants are nearer than 2**k.  When as many
-       nodes lie deeper than 2**k as deeper than 2**(k+1), what is left hangs on
-       a cycle: root and depth are -1, and path, size and interval are null.
+    1. Doubled pointers with subtree sums (``climb``) tell what hangs on a cycle, whose root and depth are -1 and whose path, size and
+       interval are null, and how large every other node's subtree is.
     2. The child with the largest subtree (then the smallest id) continues its
        parent's chain; doubled pointers along chains give every node its chain's
        head and its place in the chain.
@@ -59,46 +78,33 @@ def hierarchy(parents: DataFrame, by: list[str], paths: bool = False) -> DataFra
         given = given.where(F.col(c).isNotNull())
     given = given.groupBy(*by, "node").agg(F.min("parent").alias("parent"))
     roots = given.select(*by, F.col("parent").alias("node")).distinct().join(given, [*by, "node"], "left_anti")
-    start = given.select(*by, "node", "parent", F.col("parent").alias("cap"), F.lit(1).cast("long").alias("hops"), F.lit(1).cast("long").alias("size")).unionByName(
-        roots.select(*by, "node", F.lit(None).cast(kind).alias("parent"), F.col("node").alias("cap"), F.lit(0).cast("long").alias("hops"), F.lit(1).cast("long").alias("size"))
-    )
-    now, path = stages.write(start, "sums")
-    k, deep = 0, None
-    while True:
-        full = 2**k
-        still = now.where(F.col("hops") == full)
-        n = still.count()
-        if n == 0 or n == deep:
-            break
-        deep = n
-        added = still.groupBy(*by, F.col("cap").alias("node")).agg(F.sum("size").alias("_add"))
-        above = now.select(*by, F.col("node").alias("cap"), F.col("cap").alias("_cap"), F.col("hops").alias("_hops")).where("_hops > 0")
-        new = now.join(added, [*by, "node"], "left").join(above, [*by, "cap"], "left")
-        new = new.select(*by, "node", "parent", F.coalesce("_cap", "cap").alias("cap"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), (F.col("size") + F.coalesce("_add", F.lit(0))).alias("size"))
-        new, new_path = stages.write(new, "sums")
-        stages.drop(path)
-        now, path = new, new_path
-        k += 1
-    looped = F.col("hops") == 2**k if n else F.lit(False)
-    trees, cyclic = now.where(~looped), now.where(looped)
-
-    # chains: the heavy child of each parent
+    given, _ = stages.write(given, "given")
+    reach, looped, below = climb(stages, given.select(*by, "node", F.col("parent").alias("up"), F.lit(1).alias("hops")), by, sums=True)
+    cyclic, _ = stages.write(looped, "cyclic")
+    all_ = given.select(*by, "node", "parent").unionByName(roots.select(*by, "node", F.lit(None).cast(kind).alias("parent")))
+    sized = all_.join(cyclic, [*by, "node"], "left_anti").join(below, [*by, "node"], "left").select(*by, "node", "parent", (F.coalesce("below", F.lit(0)) + 1).alias("size"))
+    trees, _ = stages.write(sized, "sized")
+
+    # chains: the heavy child of each parent continues its parent's
     heavy = trees.where("parent is not null").groupBy(*by, "parent").agg(F.max(F.struct("size", (-F.col("node")).alias("_n"), "node")).alias("_h")).select(*by, F.col("_h.node").alias("node"), F.lit(True).alias("heavy"))
     marked = trees.join(heavy, [*by, "node"], "left").select(*by, "node", "parent", "size", F.coalesce("heavy", F.lit(False)).alias("heavy"))
     marked, marked_path = stages.write(marked, "marked")
-    stages_links = marked.select(*by, "node", F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("node")).alias("up"), F.col("heavy").cast("long").alias("hops"))
-    chains, _ = _doubled(stages, stages_links, by)
-    chains = chains.withColumnsRenamed({"up": "head", "hops": "place"})
+    along, _, _ = climb(stages, marked.where("heavy").select(*by, "node", F.col("parent").alias("up"), F.lit(1).alias("hops")), by)
+    heads = marked.where("not heavy").select(*by, "node", F.col("node").alias("head"), F.lit(0).cast("long").alias("place"))
+    chains, _ = stages.write(along.select(*by, "node", F.col("top").alias("head"), F.col("hops").alias("place")).unionByName(heads), "chains")
 
     # the tree of chains: from each head to the chain of its parent
-    heads = marked.where("not heavy").select(*by, F.col("node").alias("head"), "parent")
-    hung = heads.join(chains.select(*by, F.col("node").alias("parent"), F.col("head").alias("over"), "place"), [*by, "parent"], "left")
+    over = chains.select(*by, F.col("node").alias("parent"), F.col("head").alias("over"), "place")
+    hung = spread_join(marked.where("not heavy").select(*by, F.col("node").alias("head"), "parent"), over, [*by, "parent"], "head", "left", counted=marked.where("not heavy and parent is not null"))
     hung, _ = stages.write(hung, "hung")
-    tree, _ = _doubled_sums(stages, hung, by)
-    placed = chains.join(tree, [*by, "head"]).select(*by, "node", F.col("root").alias("root_id"), (F.col("above") + F.col("place")).alias("depth"), "head", "place")
+    up, _, _ = climb(stages, hung.where("over is not null").select(*by, F.col("head").alias("node"), F.col("over").alias("up"), (F.col("place") + 1).alias("hops")), by)
+    tree = up.select(*by, F.col("node").alias("head"), F.col("top").alias("root"), F.col("hops").alias("above"))
+    tree = tree.unionByName(hung.where("over is null").select(*by, "head", F.col("head").alias("root"), F.lit(0).cast("long").alias("above")))
+    tree, _ = stages.write(tree, "tree")
+    placed = spread_join(chains, tree, [*by, "head"], "node").select(*by, "node", F.col("root").alias("root_id"), (F.col("above") + F.col("place")).alias("depth"), "head", "place")
     none = F.lit(-1)
     if not paths:
-        return placed.select(*by, "node", "root_id", "depth").unionByName(cyclic.select(*by, "node", none.cast(kind).alias("root_id"), none.cast("long").alias("depth")))
+        return stages.result(placed.select(*by, "node", "root_id", "depth").unionByName(cyclic.select(*by, "node", none.cast(kind).alias("root_id"), none.cast("long").alias("depth"))))
 
     placed, _ = stages.write(placed, "placed")
     full = _paths(stages, placed, hung, by)
@@ -107,14 +113,7 @@ def hierarchy(parents: DataFrame, by: list[str], paths: bool = False) -> DataFra
     own = F.expr("concat(prefix, transform(slice(members, 1, cast(place as int) + 1), x -> x.node))")
     out = out.select(*by, "node", "root_id", "depth", own.alias("path"), "size", "pre")
     nulls = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("path", "size", "pre")]
-    return out.unionByName(cyclic.select(*by, "node", none.cast(kind).alias("root_id"), none.cast("long").alias("depth"), *nulls))
-
-
-def _doubled_sums(stages: Stages, hung: DataFrame, by: list[str]) -> tuple[DataFrame, str]:
-    """Of each chain its root and the depth of its head."""
-    start = hung.select(*by, F.col("head").alias("node"), F.coalesce("over", "head").alias("up"), F.when(F.col("over").isNull(), 0).otherwise(F.col("place") + 1).cast("long").alias("hops"))
-    links, path = _doubled(stages, start, by)
-    return links.select(*by, F.col("node").alias("head"), F.col("up").alias("root"), F.col("hops").alias("above")), path
+    return stages.result(out.unionByName(cyclic.select(*by, "node", none.cast(kind).alias("root_id"), none.cast("long").alias("depth"), *nulls)))
 
 
 def _paths(stages: Stages, placed: DataFrame, hung: DataFrame, by: list[str]) -> DataFrame:
@@ -136,12 +135,15 @@ def _paths(stages: Stages, placed: DataFrame, hung: DataFrame, by: list[str]) ->
         every = every.unionByName(last)
 
 
-def _preorder(stages: Stages, marked: DataFrame, placed: DataFrame, hung: DataFrame, by: list[str], buckets: int = 64) -> DataFrame:
+def _preorder(stages: Stages, marked: DataFrame, placed: DataFrame, hung: DataFrame, by: list[str], bucket: int = 10_000) -> DataFrame:
     """(by, node, size, pre): numbers in preorder within the root's tree.
 
-    Light siblings are summed in hash buckets first, so that a parent of millions of children is no single group.
+    Light siblings are summed in hash buckets of about ``bucket`` first, so that a parent of millions of children is no single group.
     """
-    light = marked.where("not heavy and parent is not null").select(*by, "node", "parent", "size", F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("bucket"))
+    light = marked.where("not heavy and parent is not null").select(*by, "node", "parent", "size")
+    wide = light.groupBy(*by, "parent").agg(F.ceil(F.count(F.lit(1)) / bucket).alias("parts")).where("parts > 1")
+    light = spread_join(light, wide, [*by, "parent"], "node", "left", counted=light).withColumn("bucket", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    light, _ = stages.write(light, "light")
     sums = light.groupBy(*by, "parent", "bucket").agg(F.sum("size").alias("total"))
     w = Window.partitionBy(*by, "parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "parent", "bucket", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("skip"))
@@ -151,14 +153,39 @@ def _preorder(stages: Stages, marked: DataFrame, placed: DataFrame, hung: DataFr
     # pre(head) = pre(parent) + 1 + heavy subtree of the parent + offset; along a chain each step adds one
     step = hung.where("over is not null").select(*by, "head", "over", "parent", "place").join(offset.withColumnRenamed("node", "head"), [*by, "head"]).join(heavy_size, [*by, "parent"], "left")
     step = step.select(*by, F.col("head").alias("node"), F.col("over").alias("up"), (F.col("place") + 1 + F.coalesce("heavy_size", F.lit(0)) + F.col("offset")).alias("hops"))
-    tops = hung.where("over is null").select(*by, F.col("head").alias("node"), F.col("head").alias("up"), F.lit(0).cast("long").alias("hops"))
-    links, _ = _doubled(stages, step.unionByName(tops), by)
-    at = placed.join(links.select(*by, F.col("node").alias("head"), "hops"), [*by, "head"]).select(*by, "node", (F.col("hops") + F.col("place")).alias("pre"))
+    links, _, _ = climb(stages, step, by)
+    starts = links.select(*by, F.col("node").alias("head"), "hops").unionByName(hung.where("over is null").select(*by, "head", F.lit(0).cast("long").alias("hops")))
+    starts, _ = stages.write(starts, "starts")
+    at = spread_join(placed, starts, [*by, "head"], "node").select(*by, "node", (F.col("hops") + F.col("place")).alias("pre"))
     return at.join(marked.select(*by, "node", "size"), [*by, "node"])
 
 
-def descendants(tree: DataFrame, by: list[str], nodes: DataFrame) -> DataFrame:
-    """(by, node, descendant) of the given nodes: an interval of ``pre`` within the root's tree."""
-    asked = tree.join(nodes, [*by, "node"], "left_semi").where("pre is not null").select(*by, "root_id", "node", F.col("pre").alias("_from"), (F.col("pre") + F.col("size")).alias("_to"))
-    below = tree.select(*by, "root_id", F.col("node").alias("descendant"), "pre")
-    return below.join(asked, [*by, "root_id"]).where("pre > _from and pre < _to").select(*by, "node", "descendant")
+def _block(level: int, x: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), x.alias("block"))
+
+
+def descendants(tree: DataFrame, by: list[str], nodes: DataFrame, radix: int = 4) -> DataFrame:
+    """(by, node, descendant) of the given nodes: those whose ``pre`` lies in the node's interval within its root's tree.
+
+    ``tree`` is the result of ``hierarchy`` with paths.  An interval falls into aligned blocks whose lengths are powers of 2**radix, at most
+    2 (2**radix - 1) of each length, and a node lies in one block of each length, so the join is one of equal blocks and no
+    task meets the pairs of a whole tree.  Nodes that the tree doesn't have, and those on or below cycles, have none.
+    """
+    reach = tree.agg(F.max("size")).first()[0] or 1
+    levels = [0]
+    while 2 ** levels[-1] < reach:
+        levels.append(levels[-1] + radix)
+    asked = tree.join(nodes.select(*by, "node").distinct(), [*by, "node"], "left_semi").where("size > 1")
+    asked = asked.select(*by, "root_id", "node", (F.col("pre") + 1).alias("lo"), (F.col("pre") + F.col("size")).alias("hi"))
+    run = lambda a, b: F.expr(f"if({a} < {b}, sequence({a}, {b} - 1), cast(array() as array<bigint>))")
+    blocks, places = [], []
+    for level in levels:
+        small, big, times = f"{2**level}", f"{2 ** (level + radix)}", f"{2**radix}"
+        lo, hi = f"(lo + {small} - 1) div {small}", f"hi div {small}"
+        whole_lo, whole_hi = f"((lo + {big} - 1) div {big}) * {times}", f"(hi div {big}) * {times}"
+        inner = F.when(F.expr(f"{whole_lo} < {whole_hi}"), F.concat(run(lo, whole_lo), run(whole_hi, hi))).otherwise(run(lo, hi))
+        blocks.append(F.transform(inner, partial(_block, level)))
+        places.append(F.struct(F.lit(level).alias("level"), F.expr(f"pre div {small}").alias("block")))
+    asked = asked.select(*by, "root_id", "node", F.explode(F.concat(*blocks)).alias("b")).select(*by, "root_id", "node", "b.*")
+    below = tree.where("pre is not null").select(*by, "root_id", F.col("node").alias("descendant"), F.explode(F.array(*places)).alias("b")).select(*by, "root_id", "descendant", "b.*")
+    return below.join(asked, [*by, "root_id", "level", "block"]).select(*by, "node", "descendant")

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,31 +30,87 @@ def shared_folder(spark: SparkSession) -> str:
 #: How many times as large rows are in memory as in a compressed file.  Spark's default of 1 would let the size of a
 #: file pass for that of its rows, and broadcast tables several times over the session's threshold.
 GROWN = "8.0"
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+_open: list[Stages] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Stages:
     """Names and drops the written tables of one run of an operator.
 
-    Raises ``spark.sql.sources.fileCompressionFactor`` of the session to GROWN where it has the default.
+    Tables are dropped one by one with ``drop``, all that a result doesn't read with ``result``, and the rest, once results
+    have been read, with ``close`` or at the end of a ``scope``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
-            spark.conf.set("spark.sql.sources.fileCompressionFactor", GROWN)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: list[str] = []
         self._n = 0
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-        """The table as written and read again, and its path."""
+        """The table as written and read again, and its path.
+
+        While it is written, sizes of files count GROWN times, if the session has Spark's default; the session's setting comes back.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        with self._grown():
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def counted(self, df: DataFrame, name: str, which: Column) -> tuple[DataFrame, str, int]:
+        """``write``, and how many rows fulfil a condition, counted while they are written."""
+        seen = Observation()
+        table, path = self.write(df.observe(seen, F.sum(which.cast("long")).alias("n")), name)
+        return table, path, int(seen.get["n"] or 0)
+
+    @contextmanager
+    def _grown(self) -> Iterator[None]:
+        conf = self.spark.conf
+        had = conf.get(_FACTOR, None)
+        if float(had or "1.0") != 1.0:
+            yield
+            return
+        conf.set(_FACTOR, GROWN)
+        try:
+            yield
+        finally:
+            conf.set(_FACTOR, had) if had is not None else conf.unset(_FACTOR)
+
     def drop(self, *paths: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, path)
+            if path in self.paths:
+                self.paths.remove(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df``, after the tables of this run that it doesn't read have been dropped."""
+        read = "\n".join(df.inputFiles())
+        self.drop(*(p for p in list(self.paths) if "/" + "/".join(p.split("/")[-2:]) + "/" not in read))
+        return df
+
+    def close(self) -> None:
+        """Drops all tables of this run; results that read them can't be read any more."""
+        _delete(self.spark, self.root)
+        self.paths.clear()
+        if self in _open:
+            _open.remove(self)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops every stage that operators write inside, at the end: ``with scope(): query(...).write.parquet(...)``."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for s in [x for x in _open if x not in before]:
+            s.close()
