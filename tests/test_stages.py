@@ -14,9 +14,9 @@ def test_only_what_the_result_reads_stays_and_the_session_is_as_before(spark):
     a, a_path = stages.write(spark.range(5), "a")
     b, b_path = stages.write(a.withColumn("x", F.col("id") * 2), "b")
     assert stages.result(b).count() == 5
-    assert not os.path.exists(a_path.removeprefix("file://")) and os.path.exists(b_path.removeprefix("file://"))
+    assert not os.path.exists(a_path.removeprefix("file:")) and os.path.exists(b_path.removeprefix("file:"))
     stages.close()
-    assert not os.path.exists(stages.root.removeprefix("file://"))
+    assert not os.path.exists(stages.root.removeprefix("file:"))
     assert {x.key: x.value for x in spark.sql("SET").collect()} == before
 
 
@@ -24,8 +24,8 @@ def test_scope_drops_every_stage(spark):
     with scope():
         tree = hierarchy(spark.createDataFrame([("a", 2, 1), ("a", 3, 2)], "m string, node long, parent long"), ["m"])
         files = tree.inputFiles()
-        assert tree.count() == 3 and all(os.path.exists(f.removeprefix("file://")) for f in files)
-    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+        assert tree.count() == 3 and all(os.path.exists(f.removeprefix("file:")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in files)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
