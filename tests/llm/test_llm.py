@@ -1,7 +1,6 @@
 import random
 import unicodedata
 
-import numpy as np
 import pytest
 
 from trackweave.llm import groups, leaks, shapes, spam, splits, tokens, topn
@@ -200,14 +199,18 @@ def test_stuffed_pages(spark):
     assert spam.stuffed(df.limit(0)).count() == 0
 
 
-def test_keyword_windows_equal_brute_force():
-    rng = np.random.default_rng(3)
-    for _ in range(80):
-        words = [f"{'ab' if x < 4 else 'word'}{chr(97 + x)}" for x in rng.integers(0, rng.integers(2, 26), rng.integers(0, 90))]
-        for short in (None, 2):
-            want = [False] * len(words)
-            for k in range(max(1, len(words) - 19)):
-                part = words[k : k + 20]
-                if len(part) >= 6 and len(set(part)) <= 0.5 * len(part) and sum(map(len, part)) >= 3.5 * len(part) and (short is None or len({w for w in part if len(w) <= 3}) <= short):
-                    want[k : k + len(part)] = [True] * len(part)
-            assert shapes.keyword_places(words, 20, 0.5, short) == want
+def test_shapes_by_their_own_statistics(spark):
+    rows = [(k, v) for k, v in (STUFFED | KEPT).items()]
+    lines = shapes.lines(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text").persist()
+    kinds = {r.shape: r.kind for r in shapes.shape_kinds(lines).collect()}
+    assert set(kinds.values()) == {"link", "product", "tag", "keyword", "sentence"}
+    assert len(kinds) == lines.select("shape").distinct().count()
+    words = {r.id: r.n for r in lines.groupBy("id").sum("said").toDF("id", "n").collect()}
+    assert words["refrain"] == 6 * 12 and words["numbers"] == 60 and "null" not in words and "blank" not in words
+    assert {r.id for r in lines.where("links > 0").collect()} == {"links", "anchors", "papers"}
+
+
+def test_long_lines_are_wrapped_and_none_is_lost(spark):
+    text = "Heater repair\u2028pump\u00a0sale. " + " ".join(f"word{k}x" for k in range(40)) + "  \n" + "y" * 5000 + "\n\n" + "." * 5000
+    rows = shapes.lines(spark.createDataFrame([("a", text), ("a", "one"), (None, "two")], "doc_id string, text string"), "doc_id", "text").collect()
+    assert sorted(r.said for r in rows) == [1, 1, 2, 2, 4, 12, 12, 12] and {r.id for r in rows} == {"a"}
