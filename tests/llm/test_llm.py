@@ -3,6 +3,7 @@ import unicodedata
 
 import pytest
 
+from trackweave.functions import skew
 from trackweave.llm import groups, leaks, shapes, spam, splits, tokens, topn
 
 # --- groups
@@ -26,7 +27,7 @@ def brute_groups(pairs):
 @pytest.mark.parametrize("hot", [False, True])
 def test_groups_equal_union_find(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(groups, "HOT_EDGES", 3)
+        monkeypatch.setattr(skew, "HOT_ROWS", 3)
     rng = random.Random(4)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     rows = [("a", *p) for p in pairs] + [("b", 1, 300), ("b", 300, 1)]
@@ -87,6 +88,17 @@ def test_broken_plans_and_new_ones(spark):
     assert set(part) == {"a", "b", "c", "d"} and part["a"] == part["b"] and set(part.values()) == {"train", "test"}
 
 
+def test_every_window_lands_in_shares_met_up_to_a_component(spark):
+    w = windows(spark, [(f"w{k:03d}", f"R{k}", 0, 10, [0.0, 0.0, 0.0], 10.0) for k in range(300)] + [(f"big{k}", "S", k, 10, [0.0, 0.0, 0.0], 10.0 + (500 if k == 3 else 0)) for k in range(20)] + [("free", "T", 0, 10, None, 5.0)])
+    plans = spark.createDataFrame([("p", [f"w{k:03d}" for k in range(300)], ["big1"], 0.6, 0.2, 0.2)], "name string, train array<string>, test array<string>, train_share double, valid_share double, test_share double")
+    rows = splits.planned(plans, splits.related_windows(w)).collect()
+    part = {r.window_id: r.part for r in rows if r.split_name == "p"}
+    assert len(part) == 320 and {r.window_id for r in rows if r.split_name == splits.UNLISTED} == {"free"}
+    assert len({part[f"big{k}"] for k in range(20)}) == 1
+    for name, share in (("train", 0.6), ("validation", 0.2), ("test", 0.2)):
+        assert abs(sum(v == name for v in part.values()) - 320 * share) <= 20
+
+
 def test_windows_empty(spark):
     assert splits.related_windows(windows(spark, [("a", "R", 0, 10, None, None)]).limit(0)).count() == 0
     assert [r.component for r in splits.related_windows(windows(spark, [("a", None, None, 10, None, None)])).collect()] == ["a"]

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.functions.skew import hot_keys, spread_join
 from trackweave.plans.stages import Stages
 
-#: A vertex with more than this many edges, and more than a thousandth of all, is spread over several tasks.
-HOT_EDGES = 100_000
-
-
 def _start(by: list[str], level: int, beta: float) -> Column:
     """The exponentially shifted start time of a vertex, drawn from its hash: minus Exp(beta)."""
     h = F.xxhash64(*by, "node", F.lit(level))
@@ -18,79 +15,84 @@ def _start(by: list[str], level: int, beta: float) -> Column:
     return F.log(unit) / F.lit(beta)
 
 
-def _grow(edges: DataFrame, by: list[str], level: int, beta: float, rounds: int) -> DataFrame:
+def _grow(edges: DataFrame, by: list[str], level: int, beta: float, rounds: int, total: int) -> DataFrame:
     """(by, node, center): clusters grown from the start times for a number of rounds.
 
     A cluster reaches a vertex at its centre's start time plus the number of
-    steps; the earliest takes it.  A vertex keeps a centre only along paths of
-    the graph, so a cluster never joins two components, however few the rounds.
+    steps; the earliest takes it.  In each round only the frontier, the vertices taken in the last one, tells its neighbours.  A
+    vertex keeps a centre only along paths of the graph, so a cluster never joins two components, however few the
+    rounds, and whichever of two centres that come at one time takes it.
     """
-    spark = edges.sparkSession
-    both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("to"), F.lit(1.0).alias("step")).unionByName(edges.select(*by, F.col("b").alias("node"), F.col("a").alias("to"), F.lit(1.0).alias("step")))
-    nodes = both.select(*by, "node").distinct()
-    own = nodes.select(*by, "node", F.col("node").alias("to"), F.lit(0.0).alias("step"))
-    degree = both.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
-    total = edges.count() * 2
-    least = max(HOT_EDGES, total // 1000)
-    hot = [r.asDict() for r in degree.where(F.col("n") > least).select(*by, "node", F.ceil(F.col("n") / least).cast("int").alias("parts")).collect()] if total > least else []
-    # every vertex tells itself its own centre at no cost, which keeps what it has
-    reach = both.unionByName(own)
-    labels = nodes.select(*by, "node", _start(by, level, beta).alias("at"), F.col("node").alias("center"))
-    if hot:  # under a thousand vertices, as each has a thousandth of all edges
-        few = F.broadcast(spark.createDataFrame(hot, degree.select(*by, "node", F.lit(1).alias("parts")).schema))
-        reach = reach.join(few, [*by, "node"], "left").withColumn("salt", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(*by, F.col("b").alias("node"), F.col("a").alias("to")))
+    hot = hot_keys(both, [*by, "node"], 2 * total)
+    start = _start(by, level, beta)
+    labels = both.select(*by, "node").distinct().select(*by, "node", start.alias("at"), F.col("node").alias("center"), (start + 1).alias("had"))
+    keys, parts = [*by, "node"], F.coalesce("parts", F.lit(1))
+    if hot is not None:
+        both = both.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64("to"), parts).cast("int")).drop("parts")
+    salt = ["salt"] if hot is not None else []
+    near = both.select(*(F.col(k).alias(f"_{k}") for k in [*keys, *salt]), "to")
     for _ in range(rounds):
-        if hot:
-            labels = labels.join(few, [*by, "node"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        told = reach.join(labels, [*by, "node", *(["salt"] if hot else [])]).select(*by, F.col("to").alias("node"), (F.col("at") + F.col("step")).alias("at"), "center")
-        labels = told.groupBy(*by, "node").agg(F.min("at").alias("at"), F.min_by("center", "at").alias("center"))
+        if hot is not None:
+            labels = labels.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        # every vertex keeps what it has; those of the frontier meet their neighbours
+        on = [F.col(k) == F.col(f"_{k}") for k in [*keys, *salt]] + [F.col("at") < F.col("had")]
+        own = F.struct(F.col("node").alias("node"), F.col("at").alias("at"), F.col("at").alias("had"))
+        told = F.struct(F.col("to").alias("node"), (F.col("at") + 1).alias("at"), F.lit(None).cast("double").alias("had"))
+        heard = labels.join(near.hint("merge"), on, "left").select(*by, "center", F.explode(F.array(own, told)).alias("x")).where("x.node is not null")
+        labels = heard.groupBy(*by, F.col("x.node").alias("node")).agg(F.min("x.at").alias("at"), F.min_by("center", "x.at").alias("center"), F.max("x.had").alias("had"))
     return labels.select(*by, "node", "center")
 
 
-def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: float = 0.5, rounds: int = 4) -> DataFrame:
+def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: float = 0.25, rounds: int = 8) -> DataFrame:
     """(by, node, group_id) of every node that a pair links with another; group_id is the smallest node of the group.
 
     Level by level, vertices grow into clusters of low diameter from
     exponentially shifted start times; the clusters become the vertices of the next
     level, whose edges are the distinct ones between clusters, until none is left.
     The assignments are then composed from the top.  The smallest member is carried
-    up with each contraction.
+    up with each contraction.  Hot vertices, when clusters grow and contract, and clusters of very many members, when assignments are
+    composed, are spread over several tasks.
 
     Rows with a null, pairs of a node with itself and repeated pairs in either
     direction link nothing more; an empty table has no groups.  Everything is keyed by
     ``by``; columns besides those named are ignored.
     """
-    spark = edges.sparkSession
-    stages = Stages(spark, "groups")
+    stages = Stages(edges.sparkSession, "groups")
     now = edges.select(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     for c in by:
         now = now.where(F.col(c).isNotNull())
-    now, path = stages.write(now.distinct(), "edges")
-    assigned: list[DataFrame] = []
-    while not assigned or now.take(1):
-        center = _grow(now, by, len(assigned), beta, rounds)
+    now, path, left = stages.counted(now.distinct(), "edges", F.lit(True))
+    assigned: list[tuple[DataFrame, str, int]] = []
+    while left or not assigned:
+        center = _grow(now, by, len(assigned), beta, rounds, left)
         if assigned:
-            center = center.join(_least(assigned[-1], by).withColumnRenamed("center", "node"), [*by, "node"])
+            center = center.join(_least(assigned[-1][0], by).withColumnRenamed("center", "node"), [*by, "node"])
         else:
             center = center.withColumn("least", F.col("node"))
-        center, _ = stages.write(center, "assigned")
+        center, center_path, members = stages.counted(center, "assigned", F.lit(True))
+        assigned.append((center, center_path, members))
+        if not left:
+            break
         ca = center.select(*by, F.col("node").alias("a"), F.col("center").alias("ca"))
         cb = center.select(*by, F.col("node").alias("b"), F.col("center").alias("cb"))
-        between = now.join(ca, [*by, "a"]).join(cb, [*by, "b"]).where("ca <> cb").select(*by, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        new, new_path = stages.write(between, "edges")
+        one = spread_join(now, ca, [*by, "a"], "b", total=left)
+        between = spread_join(one, cb, [*by, "b"], "a", counted=now, total=left).where("ca <> cb").select(*by, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        new, new_path, left = stages.counted(between, "edges", F.lit(True))
         stages.drop(path)
         now, path = new, new_path
-        assigned.append(center)
-    group = None
-    for center in reversed(assigned):
+    group, group_path = None, None
+    for center, center_path, members in reversed(assigned):
         # of each cluster the group it came to lie in, else its own smallest member
         final = _least(center, by)
         if group is not None:
             final = final.join(group.withColumnsRenamed({"node": "center"}), [*by, "center"], "left").select(*by, "center", F.coalesce("group_id", "least").alias("least"))
-        group = center.select(*by, "node", "center").join(final, [*by, "center"]).select(*by, "node", F.col("least").alias("group_id"))
-        if center is not assigned[0]:
-            group, _ = stages.write(group, "group")
-    return group
+        group = spread_join(center.select(*by, "node", "center"), final, [*by, "center"], "node", total=members).select(*by, "node", F.col("least").alias("group_id"))
+        if center is not assigned[0][0]:
+            group, new = stages.write(group, "group")
+            stages.drop(center_path, *([group_path] if group_path else []))
+            group_path = new
+    return stages.result(group)
 
 
 def _least(assigned: DataFrame, by: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.functions.numbering import prefix_sums
+from trackweave.functions.skew import spread_join
 from trackweave.plans.stages import Stages
 
 #: Neighbours in one row of an adjacency list; longer lists take several rows.
@@ -40,11 +42,11 @@ def components(edges: DataFrame, steps: int = 3, stages: Stages | None = None, d
         own = F.array(F.struct(F.col("node").alias("node"), F.col("l.step").alias("step")))
         told = F.when(F.col("l.step") == k, F.transform("next", lambda x: F.struct(x.alias("node"), F.lit(k + 1).alias("step"))))  # noqa: B023
         none = F.array().cast("array<struct<node:%s,step:int>>" % lists.schema["node"].dataType.simpleString())
-        heard = lists.join(labels, "node").select("l.label", F.explode(F.concat(own, F.coalesce(told, none))).alias("x"))
+        heard = spread_join(lists, labels, ["node"], "part").select("l.label", F.explode(F.concat(own, F.coalesce(told, none))).alias("x"))
         labels = heard.groupBy("x.node").agg(F.min(F.struct("x.step", "label")).alias("l"))
     labels, _ = stages.write(lists.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("l.label", "node").alias("label")), "labels")
     # every node has its label now: labels meet along the edges whose ends have different ones
-    ends = lists.join(labels, "node").select("label", F.explode("next").alias("node"))
+    ends = spread_join(lists, labels, ["node"], "part").select("label", F.explode("next").alias("node"))
     met = ends.join(labels.withColumnRenamed("label", "own"), "node").where("label < own").select(F.col("label").alias("a"), F.col("own").alias("b")).distinct()
     meets, _ = stages.write(met, "meets")
     if not meets.take(1):
@@ -72,27 +74,29 @@ def windows(table: DataFrame) -> DataFrame:
 def overlapping(places: DataFrame) -> DataFrame:
     """(a, b) of places (id, recording, place) that share volume and a frame of one recording.
 
-    Places lie in every cell of a grid as wide as the largest of them that they
-    touch, and a pair is found in the cell of the lower corner of what they share.
+    Cubes and spans fall into classes by powers of two.  A pair is sought in the grid as wide as the larger class of its two cubes and of
+    its two spans, so a single outlier widens no other's cells; it is found in the cell of the lower
+    corner of what the two share.  The classes present are few, as there are no more powers of two.
     """
-    far = places.agg(F.max("place.size"), F.max(F.expr("place.t1 - place.t0"))).first()
-    if far[0] is None:
-        return places.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    size, span = max(float(far[0]), 1e-9), int(far[1]) + 1
-    cells = places
+    log = lambda v: F.ceil(F.log2(v)).cast("int")
+    places = places.withColumn("cs", log(F.greatest(F.col("place.size"), F.lit(1e-9)))).withColumn("cf", log(F.expr("cast(place.t1 - place.t0 + 1 as double)")))
+    present = places.agg(F.collect_set("cs"), F.collect_set("cf")).first()
+    classes = [(gs, gf) for gs in sorted(present[0]) for gf in sorted(present[1])]
+    found = places.select(F.lit(0).alias("gs"), F.lit(0).alias("gf"), "*").limit(0) if not classes else places.withColumn("g", F.explode(F.array(*(F.struct(F.lit(s).alias("gs"), F.lit(f).alias("gf")) for s, f in classes)))).where("g.gs >= cs and g.gf >= cf").select("g.*", "*").drop("g")
+    cells = found.withColumn("size", F.pow(F.lit(2.0), F.col("gs"))).withColumn("span", F.pow(F.lit(2.0), F.col("gf")))
     for c in "zyx":
-        cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"place.{c}") / size), F.floor((F.col(f"place.{c}") + F.col("place.size")) / size))))
-    cells = cells.withColumn("ct", F.explode(F.sequence(F.floor(F.col("place.t0") / span), F.floor(F.col("place.t1") / span))))
-    grid = ["recording", "cz", "cy", "cx", "ct"]
-    a, b = (cells.select(*grid, F.col("id").alias(k), F.col("place").alias(f"p{k}")) for k in "ab")
-    meet = F.col("a") < F.col("b")
+        cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"place.{c}") / F.col("size")), F.floor((F.col(f"place.{c}") + F.col("place.size")) / F.col("size")))))
+    cells = cells.withColumn("ct", F.explode(F.sequence(F.floor(F.col("place.t0") / F.col("span")), F.floor(F.col("place.t1") / F.col("span")))))
+    grid = ["recording", "gs", "gf", "cz", "cy", "cx", "ct"]
+    a, b = (cells.select(*grid, "size", "span", F.col("id").alias(k), F.col("place").alias(f"p{k}"), F.col("cs").alias(f"cs{k}"), F.col("cf").alias(f"cf{k}")) for k in "ab")
+    meet = (F.col("a") < F.col("b")) & (F.greatest("csa", "csb") == F.col("gs")) & (F.greatest("cfa", "cfb") == F.col("gf"))
     for c in "zyx":
         low = F.greatest(F.col(f"pa.{c}"), F.col(f"pb.{c}"))
-        meet &= (low < F.col(f"pa.{c}") + F.col("pa.size")) & (low < F.col(f"pb.{c}") + F.col("pb.size")) & (F.floor(low / size) == F.col(f"c{c}"))
+        meet &= (low < F.col(f"pa.{c}") + F.col("pa.size")) & (low < F.col(f"pb.{c}") + F.col("pb.size")) & (F.floor(low / F.col("size")) == F.col(f"c{c}"))
     first = F.greatest("pa.t0", "pb.t0")
-    meet &= (first <= F.col("pa.t1")) & (first <= F.col("pb.t1")) & (F.floor(first / span) == F.col("ct"))
+    meet &= (first <= F.col("pa.t1")) & (first <= F.col("pb.t1")) & (F.floor(first / F.col("span")) == F.col("ct"))
     # the size of an exploded side is not known before it runs, so it must not be broadcast on a guess
-    return a.join(b.hint("merge"), grid).where(meet).select("a", "b")
+    return a.join(b.drop("size", "span").hint("merge"), grid).where(meet).select("a", "b")
 
 
 def related_windows(table: DataFrame) -> DataFrame:
@@ -124,21 +128,30 @@ def broken_plans(splits: DataFrame, related: DataFrame) -> DataFrame:
     return rows.where("side = 'test'").join(train, ["split_name", "component"], "left_semi").select("split_name", F.col("id").alias("window_id"))
 
 
+#: The plan of windows that no plan names, neither them nor any related with them.
+UNLISTED = "unlisted"
+
+
 def planned(splits: DataFrame, related: DataFrame) -> DataFrame:
     """(split_name, window_id, part): the windows of every plan dealt anew in its shares, related ones together.
 
-    The plan's components follow each other in the order of their hashes; one goes to the part in whose share of
-    all windows its middle falls.  Missing shares are 0; a plan without any is dealt 0.8, 0.1 and 0.1.
+    A plan holds the windows it names and those related with them.  Windows of no plan form one named UNLISTED, so every window lands
+    somewhere.  The plan's components follow each other in the order of their hashes; one goes to the part in whose share of
+    all windows its middle falls, so shares are met up to the size of a component.  Missing shares are 0; a plan without
+    any is dealt 0.8, 0.1 and 0.1.  Components are summed up in ranges, so no plan is gathered in one task.
     """
-    rows = listed(splits).select("split_name", "id").distinct().join(related, "id")
+    held = listed(splits).select("split_name", "id").join(related, "id").select("split_name", "component").distinct()
+    rows = related.join(held, "component", "left").select(F.coalesce("split_name", F.lit(UNLISTED)).alias("split_name"), "component", "id")
+    rows, _ = Stages(related.sparkSession, "planned").write(rows, "rows")
     sizes = rows.groupBy("split_name", "component").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("split_name").orderBy(F.xxhash64("component"), "component")
-    whole = Window.partitionBy("split_name")
-    middle = (F.sum("n").over(w) - F.col("n") / 2) / F.sum("n").over(whole)
+    total = rows.groupBy("split_name").agg(F.count(F.lit(1)).alias("total"))
+    summed = prefix_sums(sizes, ["split_name"], [F.xxhash64("component"), F.col("component")], "n", "upto").join(total, "split_name")
+    middle = (F.col("upto") - F.col("n") / 2) / F.col("total")
     share = [F.coalesce(f"{s}_share", F.lit(0.0)) for s in ("train", "valid", "test")]
-    total = share[0] + share[1] + share[2]
-    plans = splits.where("name is not null").select(F.col("name").alias("split_name"), *(F.when(total > 0, s / total).otherwise(F.lit(d)).alias(c) for s, d, c in zip(share, (0.8, 0.1, 0.1), ("s0", "s1", "s2"))))
+    whole = share[0] + share[1] + share[2]
+    plans = splits.where("name is not null").select(F.col("name").alias("split_name"), *(F.when(whole > 0, s / whole).otherwise(F.lit(d)).alias(c) for s, d, c in zip(share, (0.8, 0.1, 0.1), ("s0", "s1", "s2"))))
     plans = plans.groupBy("split_name").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"))
-    dealt = sizes.withColumn("middle", middle).join(plans, "split_name")
-    part = F.when(F.col("middle") < F.col("s0"), "train").when(F.col("middle") < F.col("s0") + F.col("s1"), "validation").otherwise("test")
+    dealt = summed.withColumn("middle", middle).join(plans, "split_name", "left")
+    s0, s1 = F.coalesce("s0", F.lit(0.8)), F.coalesce("s1", F.lit(0.1))
+    part = F.when(F.col("middle") < s0, "train").when(F.col("middle") < s0 + s1, "validation").otherwise("test")
     return rows.join(dealt.select("split_name", "component", part.alias("part")), ["split_name", "component"]).select("split_name", F.col("id").alias("window_id"), "part")

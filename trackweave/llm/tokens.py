@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,10 @@ def replay(words: list[str], ranks: dict[bytes, int]) -> list[list[int]]:
     return out
 
 
-def encode(documents: DataFrame, id_col: str, text: str, vocabulary: str, block: int = 1000, words_a_task: int = 50_000) -> DataFrame:
+def encode(documents: DataFrame, id_col: str, text: str, vocabulary: str, block: int = 1000, words_a_task: int = 50_000, bytes_a_block: int = 4_000_000) -> DataFrame:
     """(id, ids): the token ids of every text, without special tokens; their strings are ordinary text.
 
-    1. Documents are dealt by hash to blocks of about ``block`` texts, each in one
+    1. Documents are dealt by hash to blocks of about ``block`` texts, or ``bytes_a_block`` where texts are long, each in one
        exchange that both the next steps read; a block gives its different words.
     2. The different words of the corpus are dealt by hash to groups of about ``words_a_task``, and
        ``replay`` merges each group.
@@ -106,7 +108,11 @@ def encode(documents: DataFrame, id_col: str, text: str, vocabulary: str, block:
     have the empty list; a null id stays null; repeated rows are encoded each.
     """
     stages = Stages(documents.sparkSession, "tokens")
-    blocks = max(1, math.ceil(documents.count() / block))
+    texts, size = documents.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    blocks = max(1, math.ceil(texts / block), math.ceil((size or 0) / bytes_a_block))
+    # the vocabulary travels with the job, so executors need no folder of their own
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = os.path.basename(vocabulary)
     rows = documents.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     dealt, _ = stages.write(rows.withColumn("block", F.pmod(F.xxhash64("doc", F.coalesce(F.length("text"), F.lit(0))), F.lit(blocks)).cast("int")), "dealt")
 
@@ -127,7 +133,7 @@ def encode(documents: DataFrame, id_col: str, text: str, vocabulary: str, block:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         found = pdf["word"].tolist()
-        return pd.DataFrame({"word": found, "ids": replay(found, load_ranks(vocabulary))})
+        return pd.DataFrame({"word": found, "ids": replay(found, load_ranks(SparkFiles.get(shipped)))})
 
     table, _ = stages.write(merged.groupBy("g").applyInPandas(merge, "word string, ids array<int>"), "merged")
     own = used.join(table, "word")
@@ -140,4 +146,4 @@ def encode(documents: DataFrame, id_col: str, text: str, vocabulary: str, block:
         ids = {w: list(i) for w, i in zip(known["word"], known["ids"])}
         return pd.DataFrame({id_col: texts["doc"], "ids": [[x for w in find(t) for x in ids[w]] if t else [] for t in texts["text"]]})
 
-    return dealt.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(string, f"{id_col} {kind}, ids array<int>")
+    return stages.result(dealt.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(string, f"{id_col} {kind}, ids array<int>"))
