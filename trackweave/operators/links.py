@@ -54,7 +54,7 @@ def mutual_best(links: DataFrame) -> DataFrame:
     return r.where("rank_ij = 0 and rank_ji = 0").select("movie", "i", "j", "d")
 
 
-def two_way_probabilities(links: DataFrame, logit: str, weight: float = 0.15) -> DataFrame:
+def two_way_probabilities(links: DataFrame, logit: str, weight: float = 0.15, keep: tuple[str, ...] = ()) -> DataFrame:
     """(movie, i, j, fwd, rev, harm): softmax over the sources of a target and over the targets of a source, and their
     weighted harmonic mean, normalised by target.  ``links`` holds all pairs of the frame pair that shall count."""
     out = links
@@ -64,7 +64,7 @@ def two_way_probabilities(links: DataFrame, logit: str, weight: float = 0.15) ->
     out = out.withColumn("fwd", F.col("_ej") / F.sum("_ej").over(Window.partitionBy("movie", "j"))).withColumn("rev", F.col("_ei") / F.sum("_ei").over(Window.partitionBy("movie", "i")))
     low = F.lit(1e-8)
     out = out.withColumn("_h", 1 / ((1 - F.lit(weight)) / F.greatest("fwd", low) + F.lit(weight) / F.greatest("rev", low)))
-    return out.select("movie", "i", "j", "fwd", "rev", (F.col("_h") / F.sum("_h").over(Window.partitionBy("movie", "j"))).alias("harm"))
+    return out.select("movie", "i", "j", *keep, "fwd", "rev", (F.col("_h") / F.sum("_h").over(Window.partitionBy("movie", "j"))).alias("harm"))
 
 
 def percent_ranks(values: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:

@@ -78,6 +78,25 @@ def nearest_in_frame(nodes: DataFrame, cap: float = 15.0) -> DataFrame:
     return nodes.select("movie", "node_id").join(near.withColumnRenamed("i", "node_id"), ["movie", "node_id"], "left").select("movie", "node_id", F.coalesce("nnd", F.lit(cap)).alias("nnd"))
 
 
+def nearest_distance(nodes: DataFrame, first: float = 20.0) -> DataFrame:
+    """(movie, node_id, nnd): distance of the nearest other node of the frame, however far; none for a node alone in its frame.
+
+    The radius doubles for those that found none, so crowded frames never meet as a whole.
+    """
+    stages = Stages(nodes.sparkSession, "nearest")
+    crowd = nodes.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    asked, others, radius = points(nodes, "i").join(crowd.drop("n"), ["movie", "t"], "left_semi"), points(nodes, "j"), first
+    asked, path, left = stages.counted(asked, "open", F.lit(True))
+    found: list[str] = []
+    while left or not found:
+        near = radius_join(asked, others, "i", "j", radius).where("i <> j").groupBy("movie", F.col("i").alias("node_id")).agg(F.min("d").alias("nnd"))
+        near, near_path = stages.write(near, "done")
+        found.append(near_path)
+        asked, path, left = stages.counted(asked.join(near.withColumnRenamed("node_id", "i"), ["movie", "i"], "left_anti"), "open", F.lit(True))
+        radius *= 2
+    return stages.result(nodes.sparkSession.read.schema(near.schema).parquet(*found))
+
+
 def crowding(nodes: DataFrame, radius: float, shift: int = 0) -> DataFrame:
     """(movie, node_id, n): nodes within the radius, in the own frame without oneself or ``shift`` frames on."""
     near = radius_join(points(nodes, "i"), points(nodes, "j", -shift), "i", "j", radius)
@@ -113,11 +132,11 @@ def nearest_with_cap(nodes: DataFrame, shift: int, radius: float) -> DataFrame:
     return rows.select("movie", "node_id", F.coalesce("b.j", F.lit(-1)).alias("nearest"), F.col("b.d").alias("d"))
 
 
-def daughter_pairs(nodes: DataFrame, gate: float = 13.5, sister: tuple[float, float] = (4.5, 17.0), middle: float = 7.0, best: int = 8) -> DataFrame:
+def daughter_pairs(nodes: DataFrame, gate: float = 13.5, sister: tuple[float, float] = (4.5, 17.0), middle: float = 7.0, most_cos: float = 0.6, best: int = 8) -> DataFrame:
     """(movie, u, d1, d2, sis, mid, score): for each mother its best pairs of next-frame nodes.
 
-    Both lie within ``gate`` of the mother, ``sister`` apart, their middle within
-    ``middle`` of her; score = mid + 0.3 |sis - 8|, lowest first, ties by ids.
+    Both lie within ``gate`` of the mother, ``sister`` apart, their middle within ``middle`` of her, and the cosine between
+    the ways to them is at most ``most_cos``; score = mid + 0.3 |sis - 8|, lowest first, ties by ids.
     """
     near = radius_join(points(nodes, "u"), points(nodes, "d1", -1), "u", "d1", gate).drop("d")
     other = near.select("movie", "u", F.col("d1").alias("d2"), *(F.col(f"{c}_d1").alias(f"{c}_d2") for c in AXES))
@@ -125,6 +144,9 @@ def daughter_pairs(nodes: DataFrame, gate: float = 13.5, sister: tuple[float, fl
     for c in AXES:
         both = both.withColumn(f"{c}_m", (F.col(f"{c}_d1") + F.col(f"{c}_d2")) / 2)
     both = both.withColumn("mid", distance("_u", "_m")).where((F.col("sis") >= sister[0]) & (F.col("sis") <= sister[1]) & (F.col("mid") <= middle))
+    way = lambda k, c: F.col(f"{c}_{k}") - F.col(f"{c}_u")
+    dot = way("d1", "z") * way("d2", "z") + way("d1", "y") * way("d2", "y") + way("d1", "x") * way("d2", "x")
+    both = both.where(dot / F.greatest(distance("_u", "_d1") * distance("_u", "_d2"), F.lit(1e-6)) <= most_cos)
     both = both.withColumn("score", F.col("mid") + F.lit(0.3) * F.abs(F.col("sis") - 8.0))
     rank = F.row_number().over(Window.partitionBy("movie", "u").orderBy("score", "d1", "d2"))
     return both.withColumn("rank", rank).where(F.col("rank") <= best).select("movie", "u", "d1", "d2", "sis", "mid", "score")

@@ -202,11 +202,11 @@ def _piled(near: DataFrame) -> DataFrame:
     return rows.select("movie", "e", "s", "gap", "d")
 
 
-def spaced(nodes: DataFrame, radius: float, score: str, most_rounds: int = 1000) -> DataFrame:
+def spaced(nodes: DataFrame, radius: float, score: str) -> DataFrame:
     """(movie, node_id): greedy suppression; the highest score of a frame first (ties: smaller id), others within the radius drop out.
 
-    In each round the nodes that come first among their remaining neighbours stay and drop these; the
-    result is that of one sorted pass.
+    In each round the nodes that come first among their remaining neighbours stay and drop these, until no neighbours are left; the
+    result is that of one sorted pass.  Rounds are as many as the longest chain of neighbours with falling scores needs.
     """
     stages = Stages(nodes.sparkSession, "spaced")
     rows = nodes.withColumn("_s", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
@@ -215,15 +215,14 @@ def spaced(nodes: DataFrame, radius: float, score: str, most_rounds: int = 1000)
     near, _ = stages.write(near.where(beats).select("movie", F.col("i").alias("node_id"), F.col("j").alias("over")), "near")
     left = nodes.select("movie", "node_id")
     kept = None
-    for _ in range(most_rounds):
+    while True:
         first, _ = stages.write(left.join(near.select("movie", "node_id").distinct(), ["movie", "node_id"], "left_anti"), "first")
         kept = first if kept is None else kept.unionByName(first)
         if not near.take(1):
-            return kept
+            return stages.result(kept)
         out, _ = stages.write(near.join(first.withColumnRenamed("node_id", "over"), ["movie", "over"], "left_semi").select("movie", "node_id").distinct(), "out")
         left, _ = stages.write(left.join(first, ["movie", "node_id"], "left_anti").join(out, ["movie", "node_id"], "left_anti"), "left")
         near, _ = stages.write(near.join(left, ["movie", "node_id"], "left_semi").join(left.withColumnRenamed("node_id", "over"), ["movie", "over"], "left_semi"), "near")
-    raise RuntimeError("suppression did not end")
 
 
 def weak_segments(nodes: DataFrame, edges: DataFrame, support: DataFrame, theta: float) -> DataFrame:

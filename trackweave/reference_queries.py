@@ -19,6 +19,7 @@ from trackweave.operators import samples as sm
 from trackweave.operators import scoring as sc_
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
+from trackweave.plans.stages import Stages
 from trackweave.sources.tables import SCALE_ZYX, current_rows, current_scores, known_nodes, located_nodes, table, valid_edges
 
 #: Peaks the reference keeps of a movie's frame.
@@ -315,9 +316,10 @@ def sj_pseudo_anti(spark, d):
 
 
 @_query(f"""WITH {_NODES}, c AS (SELECT a.movie, a.node_id AS u, a.z_um AS zu, a.y_um AS yu, a.x_um AS xu, b.node_id AS j, b.z_um AS zj, b.y_um AS yj, b.x_um AS xj FROM n a JOIN n b ON a.movie = b.movie AND b.t = a.t + 1 WHERE {_DIST} <= 13.5),
-q AS (SELECT a.movie, a.u, a.j AS d1, b.j AS d2, sqrt((b.zj - a.zj) * (b.zj - a.zj) + (b.yj - a.yj) * (b.yj - a.yj) + (b.xj - a.xj) * (b.xj - a.xj)) AS sis,
+q AS (SELECT a.movie, a.u, a.j AS d1, b.j AS d2, ((a.zj - a.zu) * (b.zj - b.zu) + (a.yj - a.yu) * (b.yj - b.yu) + (a.xj - a.xu) * (b.xj - b.xu))
+ / greatest(sqrt((a.zj - a.zu) * (a.zj - a.zu) + (a.yj - a.yu) * (a.yj - a.yu) + (a.xj - a.xu) * (a.xj - a.xu)) * sqrt((b.zj - b.zu) * (b.zj - b.zu) + (b.yj - b.yu) * (b.yj - b.yu) + (b.xj - b.xu) * (b.xj - b.xu)), CAST(1e-6 AS DOUBLE)) AS cos, sqrt((b.zj - a.zj) * (b.zj - a.zj) + (b.yj - a.yj) * (b.yj - a.yj) + (b.xj - a.xj) * (b.xj - a.xj)) AS sis,
  (a.zj + b.zj) / 2 - a.zu AS mz, (a.yj + b.yj) / 2 - a.yu AS my, (a.xj + b.xj) / 2 - a.xu AS mx FROM c a JOIN c b ON a.movie = b.movie AND a.u = b.u AND a.j < b.j),
-g AS (SELECT movie, u, d1, d2, sis, sqrt(mz * mz + my * my + mx * mx) AS mid FROM q), h AS (SELECT *, mid + CAST(0.3 AS DOUBLE) * abs(sis - 8.0) AS score FROM g WHERE sis >= 4.5 AND sis <= 17 AND mid <= 7)
+g AS (SELECT movie, u, d1, d2, sis, cos, sqrt(mz * mz + my * my + mx * mx) AS mid FROM q), h AS (SELECT *, mid + CAST(0.3 AS DOUBLE) * abs(sis - 8.0) AS score FROM g WHERE sis >= 4.5 AND sis <= 17 AND mid <= 7 AND cos <= CAST(0.6 AS DOUBLE))
 SELECT movie, u, d1, d2, sis, mid, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY movie, u ORDER BY score, d1, d2) AS r FROM h) WHERE r <= 8""")
 def sj_pair_triplets(spark, d):
     """For each mother the eight best pairs of possible daughters."""
@@ -376,13 +378,15 @@ def wn_top_row(spark, d):
     return lk.best_links(_learned(spark, d))
 
 
-@_query(f"""WITH {_LINKS}, g AS (SELECT *, exp(-d / 2 - max(-d / 2) OVER (PARTITION BY movie, j)) AS ej, exp(-d / 2 - max(-d / 2) OVER (PARTITION BY movie, i)) AS ei FROM k),
-h AS (SELECT movie, i, j, ej / sum(ej) OVER (PARTITION BY movie, j) AS fwd, ei / sum(ei) OVER (PARTITION BY movie, i) AS rev FROM g),
-u AS (SELECT *, 1 / (0.85 / greatest(fwd, 1e-8) + 0.15 / greatest(rev, 1e-8)) AS m FROM h)
-SELECT movie, i, j, round(fwd, 6) AS fwd, round(rev, 6) AS rev, round(m / sum(m) OVER (PARTITION BY movie, j), 6) AS harm FROM u""")
+@_query(f"""WITH {_NODES}, k AS ({_NEXT}), g AS (SELECT *, exp(-d / 2 - max(-d / 2) OVER (PARTITION BY movie, j)) AS ej, exp(-d / 2 - max(-d / 2) OVER (PARTITION BY movie, i)) AS ei FROM k),
+h AS (SELECT movie, i, j, d, ej / sum(ej) OVER (PARTITION BY movie, j) AS fwd, ei / sum(ei) OVER (PARTITION BY movie, i) AS rev FROM g),
+u AS (SELECT *, 1 / (0.85 / greatest(fwd, 1e-8) + 0.15 / greatest(rev, 1e-8)) AS m FROM h), v AS (SELECT *, m / sum(m) OVER (PARTITION BY movie, j) AS share FROM u)
+SELECT movie, i, j, round(fwd, 6) AS fwd, round(rev, 6) AS rev, round(share, 6) AS harm FROM v WHERE d <= 10""")
 def wn_softmax_group(spark, d):
-    """Softmax of -d/2 over a target's sources and a source's targets, and their harmonic mean."""
-    out = lk.two_way_probabilities(sp.next_frame_pairs(_nodes(spark, d)).withColumn("l", -F.col("d") / 2), "l")
+    """Softmax of -d/2 over all sources of a target in the frame before and over all targets of a source in the next, and their harmonic
+    mean, of the links of up to 10 um.  Pairs beyond 200 um have a share under e**-95 of such a link's and are not formed."""
+    pairs = sp.next_frame_pairs(_nodes(spark, d), 200.0).withColumn("l", -F.col("d") / 2)
+    out = lk.two_way_probabilities(pairs, "l", keep=("d",)).where("d <= 10")
     return out.select("movie", "i", "j", *(F.round(c, 6).alias(c) for c in ("fwd", "rev", "harm")))
 
 
@@ -412,14 +416,17 @@ SQL["flt_eff_threshold"], QUERIES["flt_eff_threshold"] = SQL["gr_alt_rescue"], g
 
 
 @_query(f"""WITH {_NODES}, w AS ({_SAME}), nn AS (SELECT w.movie, n.t, i, min(d) AS d FROM w JOIN n ON w.movie = n.movie AND i = node_id WHERE n.t % 5 = 0 GROUP BY ALL),
-c AS (SELECT movie, t, median(d) AS m FROM nn GROUP BY ALL HAVING count(*) >= 5) SELECT movie, median(m) AS spacing, CASE WHEN median(m) >= 10 THEN 7 ELSE 4 END AS radius FROM c GROUP BY movie""")
+c AS (SELECT movie, t, median(d) AS m FROM nn GROUP BY ALL HAVING count(*) >= 5), o AS (SELECT DISTINCT movie FROM n)
+SELECT o.movie, median(m) AS spacing, CASE WHEN median(m) >= 10 THEN 7 ELSE 4 END AS radius FROM o LEFT JOIN c ON o.movie = c.movie GROUP BY o.movie""")
 def ag_median_nn(spark, d):
-    """Median over every fifth frame of the median distance to the nearest node; the suppression radius it asks for."""
-    n = _nodes(spark, d).where("t % 5 = 0")
-    near = sp.nearest_in_frame(n, 400.0).join(n, ["movie", "node_id"])
+    """Median over every fifth frame of the median distance to the nearest node; the suppression radius it asks for.  A movie without
+    frames of five nodes has no spacing and counts as dense."""
+    all_ = _nodes(spark, d)
+    n = all_.where("t % 5 = 0")
+    near = sp.nearest_distance(n).join(n, ["movie", "node_id"])
     sizes = n.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("k")).where("k >= 5")
     med = near.join(sizes, ["movie", "t"], "left_semi").groupBy("movie", "t").agg(F.percentile("nnd", F.lit(0.5)).alias("m"))
-    out = med.groupBy("movie").agg(F.percentile("m", F.lit(0.5)).alias("spacing"))
+    out = all_.select("movie").distinct().join(med.groupBy("movie").agg(F.percentile("m", F.lit(0.5)).alias("spacing")), "movie", "left")
     return out.select("movie", "spacing", F.when(F.col("spacing") >= 10, 7).otherwise(4).alias("radius"))
 
 
@@ -474,24 +481,35 @@ def ag_sampled_quantiles(spark, d):
 # --- graphs
 
 def _comp_sql(edges: str) -> str:
-    """Founder of each node over edges(movie, source_id, target_id) with at most one parent a node."""
-    return f"""up AS (SELECT movie, target_id AS node_id, source_id AS anc, 1 AS k FROM ({edges}) UNION ALL
-  SELECT up.movie, up.node_id, g.source_id, k + 1 FROM up JOIN ({edges}) g ON up.movie = g.movie AND up.anc = g.target_id WHERE k < 400),
-top AS (SELECT movie, node_id, CASE WHEN max(k) >= 400 THEN -1 ELSE arg_max(anc, k) END AS root FROM up GROUP BY ALL)"""
+    """Founder of each node over edges(movie, source_id, target_id) with at most one parent a node, and how many nodes lie above it; -1 where
+    the walk up meets no node without a parent, as it comes back to nodes already met."""
+    return f"""up AS (SELECT movie, target_id AS node_id, source_id AS anc FROM ({edges}) UNION
+  SELECT up.movie, up.node_id, g.source_id FROM up JOIN ({edges}) g ON up.movie = g.movie AND up.anc = g.target_id),
+top AS (SELECT up.movie, up.node_id, coalesce(max(CASE WHEN g.target_id IS NULL THEN anc END), -1) AS root, count(*) AS k
+  FROM up LEFT JOIN ({edges}) g ON up.movie = g.movie AND up.anc = g.target_id GROUP BY ALL)"""
 
 
 def _recursive(ctes: str, edges: str) -> str:
-    return f"WITH RECURSIVE {ctes}, {_comp_sql(edges)}, cc AS (SELECT n.movie, n.node_id, coalesce(root, n.node_id) AS comp FROM n LEFT JOIN top ON n.movie = top.movie AND n.node_id = top.node_id)"
+    """Chains by their first node; nodes of chains without one, which are cycles, by themselves."""
+    return f"WITH RECURSIVE {ctes}, {_comp_sql(edges)}, cc AS (SELECT n.movie, n.node_id, coalesce(nullif(root, -1), n.node_id) AS comp FROM n LEFT JOIN top ON n.movie = top.movie AND n.node_id = top.node_id)"
 
 
-@_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + " SELECT movie, node_id, comp, count(*) OVER (PARTITION BY movie, comp) AS n FROM cc")
+#: The smallest node that edges in whatever direction link each node with: all pairs of linked nodes by recursion.
+_LINKED = f"""WITH RECURSIVE {_NODES}, {_EDGES},
+u AS (SELECT movie, source_id AS a, target_id AS b FROM e WHERE source_id <> target_id UNION SELECT movie, target_id, source_id FROM e WHERE source_id <> target_id),
+r AS (SELECT DISTINCT movie, a AS node_id, a AS other FROM u UNION SELECT r.movie, u.b, r.other FROM r JOIN u ON r.movie = u.movie AND r.node_id = u.a),
+gg AS (SELECT movie, node_id, min(other) AS comp FROM r GROUP BY ALL),
+cc AS (SELECT n.movie, n.node_id, coalesce(comp, n.node_id) AS comp FROM n LEFT JOIN gg ON n.movie = gg.movie AND n.node_id = gg.node_id)"""
+
+
+@_query(_LINKED + " SELECT movie, node_id, comp, count(*) OVER (PARTITION BY movie, comp) AS n FROM cc")
 def gr_components(spark, d):
     """Component of every node over all edges by its smallest node, and the component's size."""
     return tr.components(_nodes(spark, d), _edges(spark, d))
 
 
-@_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + """, sz AS (SELECT movie, comp, count(*) AS k FROM cc GROUP BY ALL),
-fk AS (SELECT DISTINCT cc.movie, comp FROM cc WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM f GROUP BY movie, source_id HAVING count(*) >= 2))
+@_query(_LINKED + """, sz AS (SELECT movie, comp, count(*) AS k FROM cc GROUP BY ALL),
+fk AS (SELECT DISTINCT cc.movie, comp FROM cc WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM e GROUP BY movie, source_id HAVING count(*) >= 2))
 SELECT cc.movie, node_id, cc.comp FROM cc JOIN sz ON cc.movie = sz.movie AND cc.comp = sz.comp WHERE k >= 3 OR (cc.movie, cc.comp) IN (SELECT (movie, comp) FROM fk)""")
 def gr_filter_short(spark, d):
     """Components of at least three nodes or with a division."""
@@ -503,8 +521,8 @@ _CHAIN = "SELECT * FROM e WHERE (movie, source_id) IN (SELECT (movie, source_id)
 
 @_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + " SELECT movie, node_id, comp AS segment FROM cc")
 def gr_segments(spark, d):
-    """Maximal chains without forks and merges, by their first node; as in the SQL, cyclic ones are one each by movie (-1)."""
-    return tr.segments(_nodes(spark, d), _edges(spark, d), one_cycle=True)
+    """Maximal chains without forks and merges, by their first node; each node of a cyclic one by itself."""
+    return tr.segments(_nodes(spark, d), _edges(spark, d))
 
 
 @_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + f""", r AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, target_id) FROM e)), su AS (SELECT a.movie, a.node_id,
@@ -606,14 +624,18 @@ def wn_stabilized_linefit(spark, d):
 @_query(f"WITH {_NODES} SELECT movie, node_id, row_number() OVER (PARTITION BY movie ORDER BY t, z, y, x, node_id) - 1 AS place FROM n")
 def so_node_order(spark, d):
     """Place of each node in its movie by (t, z, y, x)."""
-    return _nodes(spark, d).select("movie", "node_id", (F.row_number().over(Window.partitionBy("movie").orderBy("t", "z", "y", "x", "node_id")) - 1).alias("place"))
+    from trackweave.functions.numbering import numbered_within
+
+    order = [F.col(c) for c in ("t", "z", "y", "x", "node_id")]
+    return numbered_within(_nodes(spark, d).select("movie", "node_id", "t", "z", "y", "x"), ["movie"], order, "place").select("movie", "node_id", "place")
 
 
 @_query(f"WITH {_NODES}, m AS (SELECT DISTINCT movie FROM n) SELECT movie, (row_number() OVER (ORDER BY movie) - 1) % 4 AS shard FROM m")
 def so_shard(spark, d):
     """Every fourth movie by name to one of four shards."""
-    m = _nodes(spark, d).select("movie").distinct()
-    return m.select("movie", ((F.row_number().over(Window.orderBy("movie")) - 1) % 4).alias("shard"))
+    from trackweave.functions.numbering import numbered
+
+    return numbered(_nodes(spark, d).select("movie").distinct(), [F.col("movie")], "r").select("movie", (F.col("r") % 4).alias("shard"))
 
 
 SQL["src_movie_list"] = SQL["so_shard"]
@@ -670,8 +692,9 @@ def sink_add_id(spark, d):
 @_query(f"WITH {_NODES}, m AS (SELECT DISTINCT movie FROM n) SELECT movie, (row_number() OVER (ORDER BY movie) - 1) % 2 AS half FROM m")
 def tr_halves(spark, d):
     """Alternating halves of the movies by name."""
-    m = _nodes(spark, d).select("movie").distinct()
-    return m.select("movie", ((F.row_number().over(Window.orderBy("movie")) - 1) % 2).alias("half"))
+    from trackweave.functions.numbering import numbered
+
+    return numbered(_nodes(spark, d).select("movie").distinct(), [F.col("movie")], "r").select("movie", (F.col("r") % 2).alias("half"))
 
 
 @_query("""SELECT recording, t0, min(z) AS z0, min(y) AS y0, min(x) AS x0, max(z + size_um) AS z1, max(y + size_um) AS y1, max(x + size_um) AS x1, count(*) AS n FROM (
@@ -715,6 +738,18 @@ def mt_link_frames(spark, d):
     return mt.link_frames(_nodes(spark, d), 8.0, None).drop("second")
 
 
+@_query()
+def tr_pseudo_labels(spark, d):
+    """Nodes linked from frame to frame with second children, tracks of three nodes and more or with a division, places drawn to the line through
+    their neighbours, in voxels."""
+    n = _nodes(spark, d)
+    links, _ = Stages(spark, "pseudo").write(mt.link_frames(n, 7.0, 7.0), "links")
+    tracks = links.select("movie", F.col("i").alias("source_id"), F.col("j").alias("target_id"), F.lit(1.0).alias("p"))
+    kept, _ = Stages(spark, "pseudo").write(n.join(tr.long_tracks(n, tracks, 3), ["movie", "node_id"], "left_semi"), "kept")
+    at = tr.smoothed(kept, tracks).join(kept.select("movie", "node_id", "t"), ["movie", "node_id"])
+    return at.select("movie", "node_id", "t", *((F.col(c) / F.lit(s)).alias(c) for c, s in zip(AXES, SCALE_ZYX)))
+
+
 @_query()
 def mt_close_gaps(spark, d):
     """Ends and starts of tracks matched over a gap: most bridges, then least distance."""
@@ -830,8 +865,8 @@ def tj_next_frame(spark, d):
     return f.join(f.select("movie", (F.col("t") - 1).alias("t")), ["movie", "t"]).groupBy("movie", "t").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@_query(_recursive(f"{_NODES}, {_FOREST}", "SELECT * FROM f") + f""", r AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM e)), su AS (SELECT a.movie, a.node_id,
- EXISTS (SELECT 1 FROM r b WHERE b.movie = a.movie AND b.t = a.t AND {_DIST} <= 6) AS s FROM n a), sh AS (SELECT cc.movie, comp, avg(s::INT) AS share FROM cc JOIN su ON cc.movie = su.movie AND cc.node_id = su.node_id GROUP BY ALL)
+@_query(_LINKED + f""", ra AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, source_id) FROM e)), su AS (SELECT a.movie, a.node_id,
+ EXISTS (SELECT 1 FROM ra b WHERE b.movie = a.movie AND b.t = a.t AND {_DIST} <= 6) AS s FROM n a), sh AS (SELECT cc.movie, comp, avg(s::INT) AS share FROM cc JOIN su ON cc.movie = su.movie AND cc.node_id = su.node_id GROUP BY ALL)
 SELECT cc.movie, cc.node_id, cc.comp, round(share, 6) AS share FROM cc JOIN sh ON cc.movie = sh.movie AND cc.comp = sh.comp WHERE share >= 0.5""")
 def ag_component_support(spark, d):
     """Nodes of components of which at least half is supported within 6 um."""
@@ -852,15 +887,27 @@ def ag_best_pair(spark, d):
     return w.groupBy("movie", "u").agg(F.max("score").alias("score"), F.round(F.avg(1 / (1 + F.exp(-(2 * F.col("score") - 1)))), 6).alias("mean"))
 
 
-SQL["ag_ensemble_mean"] = SQL["fn_sigmoid_cal"] = SQL["ag_best_pair"]
-QUERIES["ag_ensemble_mean"] = QUERIES["fn_sigmoid_cal"] = ag_best_pair
+@_query(f"WITH {_SCORES} SELECT movie, i, j, round(avg(p), 6) AS p FROM s GROUP BY ALL")
+def ag_ensemble_mean(spark, d):
+    """Mean score of each link over all evidences that have one."""
+    return _scores(spark, d).groupBy("movie", "i", "j").agg(F.round(F.avg("p"), 6).alias("p"))
+
+
+@_query(f"WITH {_LEARNED} SELECT movie, i, j, round(1 / (1 + exp(-(2 * p::DOUBLE - 1))), 9) AS q FROM l")
+def fn_sigmoid_cal(spark, d):
+    """The calibrated score of every link: the logistic function of a line in p."""
+    return _learned(spark, d).select("movie", "i", "j", F.round(1 / (1 + F.exp(-(2 * F.col("p").cast("double") - 1))), 9).alias("q"))
 
 
-@_query("""WITH b AS (SELECT user_id, datediff('day', TIMESTAMP '2024-01-01', ts)::DOUBLE AS t, max(value) AS v FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
-pr AS (SELECT a.user_id, (c.v - a.v) / (c.t - a.t) AS q FROM b a JOIN b c ON a.user_id = c.user_id AND c.t > a.t), sl AS (SELECT user_id, median(q) AS slope FROM pr GROUP BY ALL),
-st AS (SELECT user_id, t, v, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS r, max(v) OVER w - v AS fall, first_value(v) OVER w AS v0 FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t))
-SELECT st.user_id, count(*) AS n, round(coalesce(max(slope), 0), 6) AS slope, round(coalesce(count(*) FILTER (r > 0)::DOUBLE / nullif(count(r), 0), 0), 6) AS rising, round(arg_max(v, t) - max(v0), 6) AS net, round(max(fall), 6) AS draw_down,
-round(coalesce(sum(greatest(-r, 0)), 0), 6) AS decrease, round(count(*) FILTER (v > v0)::DOUBLE / count(*), 6) AS above, round(coalesce(min(r), 0), 6) AS min_step, round(coalesce(max(r), 0), 6) AS max_step, max(t) - min(t) AS span FROM st LEFT JOIN sl ON st.user_id = sl.user_id GROUP BY st.user_id""")
+@_query("""WITH b AS (SELECT user_id, datediff('day', TIMESTAMP '2024-01-01', ts)::DOUBLE AS t, max(value) AS v FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND ts IS NOT NULL GROUP BY ALL),
+sl AS (SELECT a.user_id, median((c.v - a.v) / (c.t - a.t)) AS slope, avg(((c.v - a.v) / (c.t - a.t) > 0)::INT) AS rising FROM b a JOIN b c ON a.user_id = c.user_id AND c.t > a.t GROUP BY ALL),
+ft AS (SELECT b.user_id, b.t, b.v, b.v - coalesce(slope, 0) * b.t AS q FROM b LEFT JOIN sl ON b.user_id = sl.user_id),
+md AS (SELECT user_id, median(abs(q - base)) AS spread FROM (SELECT *, median(q) OVER (PARTITION BY user_id) AS base FROM ft) GROUP BY ALL),
+st AS (SELECT user_id, t, v, v - lag(v) OVER w AS step, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS r, max(v) OVER w - v AS fall, first_value(v) OVER w AS v0 FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+x AS (SELECT user_id, count(*) AS n, arg_max(v, t) - max(v0) AS net, max(fall) AS draw_down, coalesce(sum(greatest(-step, 0)), 0) AS decrease, max(v0) AS v0, count(*) FILTER (v > v0) AS over_first, coalesce(min(r), 0) AS min_step, coalesce(max(r), 0) AS max_step, max(t) - min(t) AS span FROM st GROUP BY ALL)
+SELECT x.user_id, n, round(coalesce(slope, 0), 6) AS slope, round(coalesce(rising, 0), 6) AS rising, round(net, 6) AS net, round(draw_down, 6) AS draw_down, round(decrease, 6) AS decrease, round(spread, 6) AS spread,
+CASE WHEN n > 1 THEN round(net / nullif(1 + v0, 0), 6) ELSE 0 END AS relative, CASE WHEN n > 1 THEN round(over_first::DOUBLE / (n - 1), 6) ELSE 0 END AS above, round(min_step, 6) AS min_step, round(max_step, 6) AS max_step, span
+FROM x LEFT JOIN sl ON x.user_id = sl.user_id LEFT JOIN md ON x.user_id = md.user_id""")
 def wn_trend(spark, d):
     """The 12 trend statistics of each user's daily best value; ``decrease`` is the sum of the falls."""
     ev = table(spark, d, "events").select("user_id", F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t"), "value").where("user_id is not null")
@@ -868,7 +915,9 @@ def wn_trend(spark, d):
     return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("slope", "rising", "net", "draw_down", "decrease", "spread", "relative", "above", "min_step", "max_step")), "span")
 
 
-@_query(f"WITH {_SCORES} SELECT movie, source, i, j, p FROM (SELECT *, row_number() OVER (PARTITION BY movie, source ORDER BY p DESC, i, j) AS r FROM s) WHERE r <= 40")
+@_query(f"""WITH {_SCORES}, fr AS (SELECT movie, node_id, t FROM (SELECT *, row_number() OVER (PARTITION BY movie, node_id ORDER BY ingested_at DESC NULLS LAST, t DESC NULLS LAST) AS rn
+ FROM track_nodes WHERE movie IS NOT NULL AND node_id IS NOT NULL) WHERE rn = 1)
+SELECT movie, source, i, j, p FROM (SELECT s.*, t, row_number() OVER (PARTITION BY s.movie, source, t ORDER BY p DESC, i, j) AS r FROM s LEFT JOIN fr ON s.movie = fr.movie AND i = node_id) WHERE r <= {MOST_PEAKS} OR t IS NULL""")
 def so_max_peaks(spark, d):
     """The 40,000 strongest links of each movie, evidence and frame of the source node; all of those whose source has no frame."""
     rows = table(spark, d, "track_nodes").where("movie is not null and node_id is not null")
