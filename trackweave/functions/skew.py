@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key with more than this many rows, and more than a thousandth of all, is spread over several tasks.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 #: Rows by whose keys hot ones are recognised; a hot key has a thousandth of them.
 SEEN_ROWS = 200_000
 

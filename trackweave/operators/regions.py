@@ -28,6 +28,8 @@ def crossed(y: np.ndarray, x: np.ndarray, edges: np.ndarray, which: np.ndarray)
     The sweep goes up the points in order of y; an edge is open for the points from its lower end to below its upper
     end, one run of that order.  ``edges`` has y0, x0, y1, x1, and ``which`` the region of each, in runs.
     """
+    if not len(y) or not len(edges):
+        return np.empty(0, dtype=int), which[:0]
     order = np.argsort(y, kind="stable")
     ys, xs = y[order], x[order]
     first, last = np.searchsorted(ys, edges[:, 0], "left"), np.searchsorted(ys, edges[:, 2], "left")
@@ -45,7 +47,7 @@ def crossed(y: np.ndarray, x: np.ndarray, edges: np.ndarray, which: np.ndarray)
         hit = np.flatnonzero(inside & (xs[lo:hi] >= left) & (xs[lo:hi] < right)) + lo if hi > lo else np.empty(0, dtype=int)
         points.append(order[hit])
         found.append(np.full(len(hit), which[a], dtype=which.dtype))
-    return (np.concatenate(points), np.concatenate(found)) if points else (np.empty(0, dtype=int), which[:0])
+    return np.concatenate(points), np.concatenate(found)
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], id_col: str, region: str, cap: int = 20_000) -> DataFrame:
@@ -80,7 +82,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], id
 
     def sweep(key: tuple, mine: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
         sides = sides.sort_values("_region", kind="stable")
-        point, found = crossed(mine["y"].to_numpy(), mine["x"].to_numpy(), sides[["y0", "x0", "y1", "x1"]].to_numpy(), pd.factorize(sides["_region"])[0])
+        point, found = crossed(mine["y"].to_numpy(), mine["x"].to_numpy(), sides[["y0", "x0", "y1", "x1"]].to_numpy(), pd.factorize(sides["_region"])[0].astype(int))
         names = sides["_region"].drop_duplicates().to_numpy()
         out = pd.DataFrame({k: [v] * len(point) for k, v in zip(keys, key)})
         out[id_col], out[region] = mine["_id"].to_numpy()[point], names[found]
