@@ -81,12 +81,13 @@ def points_in_regions(points: DataFrame, regions: DataFrame, keys: list[str], id
     schema = T.StructType([*(T.StructField(k, points.schema[k].dataType) for k in keys), T.StructField(id_col, points.schema[id_col].dataType), T.StructField(region, regions.schema[region].dataType)])
 
     def sweep(key: tuple, mine: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or sides.empty:
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         sides = sides.sort_values("_region", kind="stable")
         point, found = crossed(mine["y"].to_numpy(), mine["x"].to_numpy(), sides[["y0", "x0", "y1", "x1"]].to_numpy(), pd.factorize(sides["_region"])[0].astype(int))
         names = sides["_region"].drop_duplicates().to_numpy()
-        out = pd.DataFrame({k: [v] * len(point) for k, v in zip(keys, key)})
-        out[id_col], out[region] = mine["_id"].to_numpy()[point], names[found]
-        return out
+        given = {k: pd.Series([v] * len(point), dtype=object) for k, v in zip(keys, key)}
+        return pd.DataFrame(given | {id_col: pd.Series(mine["_id"].to_numpy()[point], dtype=object), region: pd.Series(names[found], dtype=object)})
 
     by = [*keys, "_slab"]
     return stages.result(here.groupBy(*by).cogroup(there.groupBy(*by)).applyInPandas(sweep, schema).distinct())
