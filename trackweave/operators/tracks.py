@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.geometry import AXES, distance, points
+from trackweave.functions.numbering import prefix_sums
+from trackweave.operators import matching as mt
 from trackweave.operators.components import connected
 from trackweave.operators.hierarchy import best_parents, hierarchy
-from trackweave.operators.spatial import radius_join
+from trackweave.operators.spatial import radius_join, supported
 from trackweave.plans.stages import Stages
 
 
@@ -230,3 +232,87 @@ def weak_segments(nodes: DataFrame, edges: DataFrame, support: DataFrame, theta:
     rows = segments(nodes, edges).join(support, ["movie", "node_id"])
     share = rows.groupBy("movie", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("supported").cast("double")).alias("share"))
     return share.where(F.col("share") < theta)
+
+
+def filled(nodes: DataFrame, bridges: DataFrame, last_ids: DataFrame, order: tuple[str, ...] = ("gap", "d", "e", "s")) -> tuple[DataFrame, DataFrame]:
+    """What bridges (movie, e, s, gap, d) add: (movie, node_id, t, z_um, y_um, x_um), evenly between their ends, and (movie, source_id, target_id).
+
+    New ids follow the movie's last one (movie, last_id), bridge by bridge in the given order and from its end to its start.
+    """
+    a = nodes.select("movie", F.col("node_id").alias("e"), "t", *(F.col(f"{c}_um").alias(f"{c}_e") for c in AXES))
+    b = nodes.select("movie", F.col("node_id").alias("s"), *(F.col(f"{c}_um").alias(f"{c}_s") for c in AXES))
+    rows = prefix_sums(bridges.withColumn("gap", F.col("gap").cast("long")), ["movie"], [F.col(c) for c in order], "gap", "upto")
+    rows = rows.join(a, ["movie", "e"]).join(b, ["movie", "s"]).join(last_ids, "movie").withColumn("base", F.col("last_id") + F.col("upto") - F.col("gap"))
+    rows, _ = Stages(nodes.sparkSession, "filled").write(rows, "bridges")
+    steps = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gap"))))
+    between = [(F.col(f"{c}_e") + (F.col(f"{c}_s") - F.col(f"{c}_e")) * F.col("k") / (F.col("gap") + 1)).alias(f"{c}_um") for c in AXES]
+    new = steps.where("k > 0").select("movie", (F.col("base") + F.col("k")).alias("node_id"), (F.col("t") + F.col("k")).cast("int").alias("t"), *between)
+    source = F.when(F.col("k") == 0, F.col("e")).otherwise(F.col("base") + F.col("k"))
+    target = F.when(F.col("k") == F.col("gap"), F.col("s")).otherwise(F.col("base") + F.col("k") + 1)
+    return new, steps.select("movie", source.alias("source_id"), target.alias("target_id"))
+
+
+def close_gaps(nodes: DataFrame, edges: DataFrame, max_gap: int = 1, step: float = 8.0) -> DataFrame:
+    """(movie, e, s, gap, d): ends matched with starts ``gap`` + 1 frames later within step (gap + 1): most bridges, then least distance.
+
+    Shorter gaps come first; an end bridged there asks no more, a start may be met once for each length of gap.
+    """
+    stages = Stages(nodes.sparkSession, "close_gaps")
+    rows, _ = stages.write(nodes.join(degrees(nodes, edges), ["movie", "node_id"]).where("out_deg = 0 or in_deg = 0"), "loose")
+    ends, starts, found = rows.where("out_deg = 0"), rows.where("in_deg = 0"), None
+    for gap in range(1, max_gap + 1):
+        pairs = radius_join(points(ends, "i"), points(starts, "j", -(gap + 1)), "i", "j", step * (gap + 1)).select("movie", "i", "j", "d")
+        part, _ = stages.write(mt.matched(pairs).select("movie", F.col("i").alias("e"), F.col("j").alias("s"), F.lit(gap).alias("gap"), "d"), "bridges")
+        found = part if found is None else found.unionByName(part)
+        ends = ends.join(part.select("movie", F.col("e").alias("node_id")), ["movie", "node_id"], "left_anti")
+    return found
+
+
+def track_gate(nodes: DataFrame, edges: DataFrame, spacing: DataFrame, second: DataFrame, sensitive: DataFrame, bands: list[tuple[float, float, str, float, float, float]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges left when badly supported segments have been removed.
+
+    ``spacing`` is (movie, spacing), 0 where null; a movie falls into the first band (lo, hi, mode, theta, r, r2) with lo <= spacing < hi,
+    and one in no band keeps all.  In mode v a node is supported by a point of ``second`` within r, in mode or (and) by one of ``sensitive``
+    within r or (and) one of ``second`` within r2, all of its frame.  Segments less than theta of whose nodes are supported go, with their edges.
+    """
+    stages = Stages(nodes.sparkSession, "track_gate")
+    sp = spacing.groupBy("movie").agg(F.coalesce(F.max("spacing"), F.lit(0.0)).alias("_sp"))
+    which = F.coalesce(*(F.when((F.col("_sp") >= lo) & (F.col("_sp") < hi), F.lit(k)) for k, (lo, hi, *_) in enumerate(bands)), F.lit(None).cast("int"))
+    banded, _ = stages.write(sp.select("movie", which.alias("band")).where("band is not null"), "banded")
+    inside, _ = stages.write(nodes.join(banded, "movie"), "inside")
+    rows = None
+    for k, (_, _, mode, theta, r, r2) in enumerate(bands):
+        mine = inside.where(F.col("band") == k)
+        if mode == "v":
+            part = supported(mine, second, r)
+        else:
+            a, b = supported(mine, sensitive, r), supported(mine, second, r2).withColumnRenamed("supported", "also")
+            ok = F.col("supported") | F.col("also") if mode == "or" else F.col("supported") & F.col("also")
+            part = a.join(b, ["movie", "node_id"]).select("movie", "node_id", ok.alias("supported"))
+        part = part.withColumn("theta", F.lit(theta))
+        rows = part if rows is None else rows.unionByName(part)
+    cut = segments(inside, edges.join(banded, "movie", "left_semi")).join(rows, ["movie", "node_id"])
+    cut, _ = stages.write(cut, "cut")
+    weak = cut.groupBy("movie", "segment").agg(F.avg(F.col("supported").cast("double")).alias("share"), F.max("theta").alias("theta")).where("share < theta")
+    gone, _ = stages.write(cut.join(weak, ["movie", "segment"], "left_semi").select("movie", "node_id"), "gone")
+    left = edges.join(gone.withColumnRenamed("node_id", "source_id"), ["movie", "source_id"], "left_anti").join(gone.withColumnRenamed("node_id", "target_id"), ["movie", "target_id"], "left_anti")
+    return nodes.join(gone, ["movie", "node_id"], "left_anti"), left
+
+
+def refined(second: DataFrame, first: DataFrame, radius: float = 6.0, least: float = 0.5) -> DataFrame:
+    """(movie, node_id, comp, share, seed, size): points of ``second`` whose tracks are supported by ``first``.
+
+    Points of a frame are matched one to one within ``radius``; ``second`` is linked from frame to frame, and components stay of which at least
+    ``least`` is matched.  ``first`` has seed and size, which a matched point takes over; others get the median of their frame, and 1 and 0 where ``first`` has none.
+    """
+    stages = Stages(second.sparkSession, "refined")
+    pairs = radius_join(points(second, "i"), points(first, "j"), "i", "j", radius).select("movie", "i", "j", "d")
+    met, _ = stages.write(mt.matched(pairs).select("movie", F.col("i").alias("node_id"), F.col("j").alias("of")), "met")
+    links, _ = stages.write(mt.link_frames(second).select("movie", F.col("i").alias("source_id"), F.col("j").alias("target_id")), "links")
+    rows = components(second, links).join(met, ["movie", "node_id"], "left")
+    rows, _ = stages.write(rows, "rows")
+    share = rows.groupBy("movie", "comp").agg(F.avg(F.col("of").isNotNull().cast("double")).alias("share")).where(F.col("share") >= least)
+    own = first.select("movie", F.col("node_id").alias("of"), F.col("seed").alias("_seed"), F.col("size").alias("_size"))
+    typical = first.groupBy("movie", "t").agg(F.percentile("seed", F.lit(0.5)).alias("_mseed"), F.percentile("size", F.lit(0.5)).alias("_msize"))
+    kept = rows.join(share, ["movie", "comp"]).join(second.select("movie", "node_id", "t"), ["movie", "node_id"]).join(own, ["movie", "of"], "left").join(typical, ["movie", "t"], "left")
+    return kept.select("movie", "node_id", "comp", "share", F.coalesce("_seed", "_mseed", F.lit(1.0)).alias("seed"), F.coalesce("_size", "_msize", F.lit(0.0)).alias("size"))

@@ -20,6 +20,7 @@ from trackweave.operators import scoring as sc_
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
 from trackweave.plans.stages import Stages
+from trackweave.sources.files import parse_bands
 from trackweave.sources.tables import SCALE_ZYX, current_rows, current_scores, known_nodes, located_nodes, table, valid_edges
 
 #: Peaks the reference keeps of a movie's frame.
@@ -528,14 +529,37 @@ def gr_segments(spark, d):
 @_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + f""", r AS (SELECT n.* FROM n WHERE (movie, node_id) IN (SELECT (movie, target_id) FROM e)), su AS (SELECT a.movie, a.node_id,
  EXISTS (SELECT 1 FROM r b WHERE b.movie = a.movie AND b.t = a.t AND {_DIST} <= 4) AS s FROM n a)
 SELECT cc.movie, comp AS segment, count(*) AS n, round(avg(s::INT), 6) AS share FROM cc JOIN su ON cc.movie = su.movie AND cc.node_id = su.node_id GROUP BY ALL HAVING avg(s::INT) < 0.4""")
-def gr_track_gate(spark, d):
+def ag_segment_support(spark, d):
     """Segments less than two fifths of whose nodes are supported."""
     n, e = _nodes(spark, d), _edges(spark, d)
     ref = n.join(e.select("movie", F.col("target_id").alias("node_id")), ["movie", "node_id"], "left_semi")
     return tr.weak_segments(n, e, sp.supported(n, ref, 4.0), 0.4).withColumn("share", F.round("share", 6))
 
 
-SQL["ag_segment_support"], QUERIES["ag_segment_support"] = SQL["gr_track_gate"], gr_track_gate
+#: The density bands of the track gate, as lo:hi:mode:theta:r:r2.
+GATE_BANDS = "19.7:25:or:0.4:4:5;25:99:and:0.2:5:5"
+
+
+@_query(_recursive(f"{_NODES}, {_EDGES}, ch AS ({_CHAIN})", "SELECT * FROM ch") + f""",
+bd AS (SELECT movie, CASE WHEN sp >= 19.7 AND sp < 25 THEN 1 WHEN sp >= 25 AND sp < 99 THEN 2 END AS b FROM (SELECT movie, coalesce(max(dog_sp), 0) AS sp FROM route GROUP BY movie)),
+sv AS (SELECT a.movie, a.node_id, min({_DIST}) AS m FROM n a JOIN n b ON a.movie = b.movie AND a.t = b.t WHERE (b.movie, b.node_id) IN (SELECT (movie, target_id) FROM e) GROUP BY ALL),
+sd AS (SELECT a.movie, a.node_id, min({_DIST}) AS m FROM n a JOIN n b ON a.movie = b.movie AND a.t = b.t WHERE (b.movie, b.node_id) IN (SELECT (movie, source_id) FROM e) GROUP BY ALL),
+su AS (SELECT cc.movie, cc.node_id, comp, b, CASE WHEN b = 1 THEN coalesce(sd.m <= 4, false) OR coalesce(sv.m <= 5, false) ELSE coalesce(sd.m <= 5, false) AND coalesce(sv.m <= 5, false) END AS s
+ FROM cc JOIN bd ON cc.movie = bd.movie LEFT JOIN sv ON cc.movie = sv.movie AND cc.node_id = sv.node_id LEFT JOIN sd ON cc.movie = sd.movie AND cc.node_id = sd.node_id WHERE b IS NOT NULL),
+wk AS (SELECT movie, comp FROM su GROUP BY movie, comp HAVING avg(s::INT) < CASE WHEN max(b) = 1 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END),
+go AS (SELECT su.movie, su.node_id FROM su JOIN wk ON su.movie = wk.movie AND su.comp = wk.comp)
+SELECT n.movie AS dataset, 'node' AS row_type, node_id, t, CAST(round_even(z, 0) AS INT) AS z, CAST(round_even(y, 0) AS INT) AS y, CAST(round_even(x, 0) AS INT) AS x, -1 AS source_id, -1 AS target_id FROM n WHERE (movie, node_id) NOT IN (SELECT (movie, node_id) FROM go)
+UNION ALL SELECT movie, 'edge', -1, -1, -1, -1, -1, source_id, target_id FROM e WHERE (movie, source_id) NOT IN (SELECT (movie, node_id) FROM go) AND (movie, target_id) NOT IN (SELECT (movie, node_id) FROM go)""")
+def gr_track_gate(spark, d):
+    """The result without segments that are badly supported in the density band of their movie's route.
+
+    Recorded targets stand for the second model's points, recorded sources for the sensitive detector's.
+    """
+    stages = Stages(spark, "gate")
+    n, e = stages.write(_nodes(spark, d), "nodes")[0], stages.write(_edges(spark, d), "edges")[0]
+    among = lambda c: n.join(e.select("movie", F.col(c).alias("node_id")), ["movie", "node_id"], "left_semi")
+    spacing = table(spark, d, "route").select("movie", F.col("dog_sp").alias("spacing"))
+    return _rows(*tr.track_gate(n, e, spacing, among("target_id"), among("source_id"), parse_bands(GATE_BANDS)))
 
 
 @_query(f"""WITH {_EDGES}, q AS (SELECT movie, source_id AS u, target_id, p, row_number() OVER (PARTITION BY movie, source_id ORDER BY p DESC NULLS LAST, target_id) AS r, count(*) OVER (PARTITION BY movie, source_id) AS k FROM e)
@@ -573,12 +597,25 @@ SQL["sj_exclusion"], QUERIES["sj_exclusion"] = SQL["tj_gap"], tj_gap
 
 
 @_query()
-def gr_gapfill(spark, d):
+def mt_greedy_sorted(spark, d):
     """Bridges over gaps, shorter gaps and shorter distances first, each end and start once."""
     return tr.bridges(tr.gap_pairs(_nodes(spark, d), _edges(spark, d)))
 
 
-QUERIES["mt_greedy_sorted"] = gr_gapfill
+def _with_bridges(spark, d, n, e, bridges, order):
+    """The result with the interpolated nodes and edges of bridges; new ids follow the last id of any row of the movie."""
+    last = known_nodes(table(spark, d, "track_nodes")).groupBy("movie").agg(F.max("node_id").alias("last_id"))
+    new, links = tr.filled(n, bridges, last, order)
+    new = new.select("movie", "node_id", "t", *((F.col(f"{c}_um") / F.lit(s)).alias(c) for c, s in zip(AXES, SCALE_ZYX)))
+    return _rows(n.select("movie", "node_id", "t", *AXES).unionByName(new), e.select("movie", "source_id", "target_id").unionByName(links))
+
+
+@_query()
+def gr_gapfill(spark, d):
+    """The result with short gaps bridged greedily: interpolated nodes with new ids and their edges."""
+    stages = Stages(spark, "gapfill")
+    n, e = stages.write(_nodes(spark, d), "nodes")[0], stages.write(_edges(spark, d), "edges")[0]
+    return _with_bridges(spark, d, n, e, tr.bridges(tr.gap_pairs(n, e)), ("gap", "d", "e", "s"))
 
 
 @_query()
@@ -665,13 +702,18 @@ _SUBMISSION = f"""{_NODES}, {_EDGES}, rows_ AS (SELECT movie AS dataset, 'node'
 UNION ALL SELECT movie, 'edge', -1, -1, -1, -1, -1, source_id, target_id FROM e)"""
 
 
-def _submission(spark, d):
+def _rows(nodes, edges):
+    """Node rows, places in whole voxels, and edge rows of a result, -1 where a column does not apply."""
     minus = F.lit(-1)
-    n = _nodes(spark, d).select(F.col("movie").alias("dataset"), F.lit("node").alias("row_type"), "node_id", "t", *(F.rint(c).cast("int").alias(c) for c in AXES), minus.cast("long").alias("source_id"), minus.cast("long").alias("target_id"))
-    e = _edges(spark, d).select(F.col("movie").alias("dataset"), F.lit("edge").alias("row_type"), minus.cast("long").alias("node_id"), minus.alias("t"), *(minus.alias(c) for c in AXES), "source_id", "target_id")
+    n = nodes.select(F.col("movie").alias("dataset"), F.lit("node").alias("row_type"), "node_id", "t", *(F.rint(c).cast("int").alias(c) for c in AXES), minus.cast("long").alias("source_id"), minus.cast("long").alias("target_id"))
+    e = edges.select(F.col("movie").alias("dataset"), F.lit("edge").alias("row_type"), minus.cast("long").alias("node_id"), minus.alias("t"), *(minus.alias(c) for c in AXES), "source_id", "target_id")
     return n.unionByName(e)
 
 
+def _submission(spark, d):
+    return _rows(_nodes(spark, d), _edges(spark, d))
+
+
 @_query(f"WITH {_SUBMISSION} SELECT * FROM rows_")
 def sink_submission(spark, d):
     """Node rows and edge rows of the result, -1 where a column does not apply."""
@@ -752,15 +794,23 @@ def tr_pseudo_labels(spark, d):
 
 @_query()
 def mt_close_gaps(spark, d):
-    """Ends and starts of tracks matched over a gap: most bridges, then least distance."""
-    pairs = tr.gap_pairs(_nodes(spark, d), _edges(spark, d), exclusion=None)
-    return mt.matched(pairs.select("movie", F.col("e").alias("i"), F.col("s").alias("j"), "d")).drop("second")
+    """The result with gaps of one frame bridged by a matching of ends and starts up to 16 um apart."""
+    stages = Stages(spark, "closed")
+    n, e = stages.write(_nodes(spark, d), "nodes")[0], stages.write(_edges(spark, d), "edges")[0]
+    return _with_bridges(spark, d, n, e, tr.close_gaps(n, e), ("gap", "e", "s"))
 
 
 @_query()
 def ft_edge26(spark, d):
     """The 26 geometry columns of each candidate link."""
-    return ft.edge26(_nodes(spark, d), sp.next_frame_pairs(_nodes(spark, d)))
+    return ft.edge26(*_pool(spark, d))
+
+
+def _pool(spark, d):
+    """Nodes and candidate links, written once."""
+    stages = Stages(spark, "pool")
+    n, _ = stages.write(_nodes(spark, d), "nodes")
+    return n, stages.write(sp.candidates(n), "links")[0]
 
 
 _EVID = ["tf_fwd", "tf_harm", "embed", "learned"]
@@ -769,11 +819,18 @@ _EVID = ["tf_fwd", "tf_harm", "embed", "learned"]
 @_query(f"WITH {_SCORES}, v AS ({_PIVOT}) SELECT movie, i, j" + "".join(
     f", coalesce({c}, 0) AS {c}, row_number() OVER (PARTITION BY movie, i ORDER BY coalesce({c}, 0) DESC, j) - 1 AS {c}_rank_src, max(coalesce({c}, 0)) OVER (PARTITION BY movie, i) - coalesce({c}, 0) AS {c}_gap_src, row_number() OVER (PARTITION BY movie, j ORDER BY coalesce({c}, 0) DESC, i) - 1 AS {c}_rank_dst, max(coalesce({c}, 0)) OVER (PARTITION BY movie, j) - coalesce({c}, 0) AS {c}_gap_dst"
     for c in _EVID) + ", abs(coalesce(tf_fwd, 0) - coalesce(tf_harm, 0)) AS spread FROM v")
-def ft_edge47(spark, d):
+def ft_evidence21(spark, d):
     """The evidence part of the link features: value, ranks and gaps of each source, and one difference."""
     return ft.evidence21(_pivot(spark, d), _EVID)
 
 
+@_query()
+def ft_edge47(spark, d):
+    """All 47 columns of each candidate link: geometry and evidences, 0 where there is none."""
+    n, links = _pool(spark, d)
+    return ft.edge47(n, links, _pivot(spark, d), _EVID)
+
+
 @_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos, round(least(greatest((list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 0), 1), 5) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def fn_embed_sim(spark, d):
     """Cosine of neighbouring unit vectors and its share of 1."""
@@ -795,7 +852,7 @@ SELECT w.movie, u, d1, d2, p1, p2, least(p1, p2) AS pmin, p1::DOUBLE + p2::DOUBL
 coalesce((SELECT max(p) FROM alt x WHERE x.movie = w.movie AND x.j = d1 AND x.i <> u AND x.r <= 2), 0) AS io1, coalesce((SELECT max(p) FROM alt x WHERE x.movie = w.movie AND x.j = d2 AND x.i <> u AND x.r <= 2), 0) AS io2,
 coalesce(o1.out_best, 0) AS out1, coalesce(o2.out_best, 0) AS out2, coalesce(o1.out_n, 0) AS n1, coalesce(o2.out_n, 0) AS n2
 FROM w LEFT JOIN o o1 ON w.movie = o1.movie AND d1 = o1.i LEFT JOIN o o2 ON w.movie = o2.movie AND d2 = o2.i""")
-def ft_link22(spark, d):
+def ft_best_pairs(spark, d):
     """Link columns of each mother and two of her three best targets: own, competing and onward probabilities."""
     return ft.link_pairs(_learned(spark, d))
 
@@ -806,11 +863,103 @@ q AS (SELECT movie, j, max(p) AS q1, count(*) AS n_in FROM l GROUP BY ALL)
 SELECT n.movie, node_id, n.t, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, coalesce(p2, 0)::DOUBLE / greatest(coalesce(p1, 0)::DOUBLE, CAST(1e-6 AS DOUBLE)) AS p2_p1, coalesce(p1, 0)::DOUBLE - coalesce(p2, 0)::DOUBLE AS margin,
 coalesce(n_out, 0) AS n_out, coalesce(q1, 0) AS q1, coalesce(n_in, 0) AS n_in, (row_number() OVER (PARTITION BY n.movie, n.t ORDER BY coalesce(p2, 0), node_id) - 1) / greatest(count(*) OVER (PARTITION BY n.movie, n.t) - 1, 1) AS p2_pct
 FROM n LEFT JOIN t ON n.movie = t.movie AND node_id = i LEFT JOIN q ON n.movie = q.movie AND node_id = q.j""")
-def ft_node53(spark, d):
+def ft_node_links(spark, d):
     """The link columns of the node features (p1..p3, their ratios and ranks, degrees, best parent)."""
     return ft.node_links(_nodes(spark, d), _learned(spark, d))
 
 
+@_query(f"WITH {_NODES}, {_LEARNED}, v AS (SELECT l.movie, t, round_even(z, 0) AS z, round_even(y, 0) AS y, round_even(x, 0) AS x, max(p) AS score FROM l JOIN n ON l.movie = n.movie AND i = node_id GROUP BY ALL) SELECT n.movie, node_id, coalesce(score, 0) AS score, score IS NOT NULL AS present FROM n LEFT JOIN v ON n.movie = v.movie AND n.t = v.t AND round_even(n.z, 0) = v.z AND round_even(n.y, 0) = v.y AND round_even(n.x, 0) = v.x")
+def jn_divscore(spark, d):
+    """A score joined to nodes by frame and rounded voxel, 0 where there is none."""
+    n = _nodes(spark, d)
+    at = [F.rint(c).alias(f"r{c}") for c in AXES]
+    keyed = n.select("movie", "t", "node_id", *at)
+    v = _learned(spark, d).withColumnRenamed("i", "node_id").join(keyed, ["movie", "node_id"]).groupBy("movie", "t", "rz", "ry", "rx").agg(F.max("p").alias("score"))
+    return keyed.join(v, ["movie", "t", "rz", "ry", "rx"], "left").select("movie", "node_id", F.coalesce("score", F.lit(0.0).cast("float")).alias("score"), F.col("score").isNotNull().alias("present"))
+
+
+_PAIRS = SQL["sj_pair_triplets"].removeprefix("WITH ")
+
+
+@_query(f"""WITH {_PAIRS.rpartition("SELECT movie, u, d1, d2")[0].rstrip()}, tp AS (SELECT movie, u, d1, d2 FROM (SELECT *, row_number() OVER (PARTITION BY movie, u ORDER BY score, d1, d2) AS r FROM h) WHERE r <= 8), {_SCORES},
+l AS (SELECT movie, i, j, p::DOUBLE AS p, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM s WHERE source = 'learned'),
+hm AS (SELECT movie, i, j, p::DOUBLE AS h FROM s WHERE source = 'tf_harm'), em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ot AS (SELECT movie, i, max(p) AS p, count(*) AS k FROM l GROUP BY ALL), alt AS (SELECT movie, j, i, p, row_number() OVER (PARTITION BY movie, j ORDER BY p DESC, i) AS r FROM l),
+io AS (SELECT tp.movie, u, x.j, max(p) AS io FROM (SELECT DISTINCT movie, u, unnest([d1, d2]) AS j FROM tp) tp JOIN alt x ON tp.movie = x.movie AND tp.j = x.j AND x.i <> u AND x.r <= 2 GROUP BY ALL),
+w AS (SELECT tp.movie, tp.u, d1, d2, coalesce(l1.p, 0) AS p1, coalesce(l2.p, 0) AS p2, coalesce(l1.r, 9) AS r1, coalesce(l2.r, 9) AS r2, coalesce(h1.h, 0) AS h1, coalesce(h2.h, 0) AS h2, coalesce(i1.io, 0) AS io1, coalesce(i2.io, 0) AS io2,
+ coalesce(o1.p, 0) AS out1, coalesce(o2.p, 0) AS out2, coalesce(o1.k, 0) AS n1, coalesce(o2.k, 0) AS n2, coalesce(list_dot_product(eu.v, e1.v), 0) AS cos1, coalesce(list_dot_product(eu.v, e2.v), 0) AS cos2, coalesce(list_dot_product(e1.v, e2.v), 0) AS cos12
+ FROM tp LEFT JOIN l l1 ON tp.movie = l1.movie AND tp.u = l1.i AND d1 = l1.j LEFT JOIN l l2 ON tp.movie = l2.movie AND tp.u = l2.i AND d2 = l2.j LEFT JOIN hm h1 ON tp.movie = h1.movie AND tp.u = h1.i AND d1 = h1.j LEFT JOIN hm h2 ON tp.movie = h2.movie AND tp.u = h2.i AND d2 = h2.j
+ LEFT JOIN io i1 ON tp.movie = i1.movie AND tp.u = i1.u AND d1 = i1.j LEFT JOIN io i2 ON tp.movie = i2.movie AND tp.u = i2.u AND d2 = i2.j LEFT JOIN ot o1 ON tp.movie = o1.movie AND d1 = o1.i LEFT JOIN ot o2 ON tp.movie = o2.movie AND d2 = o2.i
+ LEFT JOIN em eu ON tp.u = eu.vec_id LEFT JOIN em e1 ON d1 = e1.vec_id LEFT JOIN em e2 ON d2 = e2.vec_id)
+SELECT movie, u, d1, d2, p1, p2, least(p1, p2) AS pmin, p1 + p2 AS psum, r1, r2, greatest(r1, r2) AS rmax, h1, h2, io1, io2, round(p1 / greatest(io1, CAST(1e-3 AS DOUBLE)), 6) AS over1, round(p2 / greatest(io2, CAST(1e-3 AS DOUBLE)), 6) AS over2,
+ out1, out2, n1, n2, round(cos1, 5) AS cos1, round(cos2, 5) AS cos2, round(cos12, 5) AS cos12, 1 AS has1, 1 AS has2 FROM w""")
+def ft_link22(spark, d):
+    """The 22 link columns of each mother's pairs of possible daughters; the vector with a node's id stands for its embedding."""
+    n, s = _nodes(spark, d), Stages(spark, "scores").write(_scores(spark, d), "scores")[0]
+    vectors = n.select("movie", "node_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("v")), "node_id")
+    of = lambda name: s.where(F.col("source") == name).select("movie", "i", "j", "p")
+    out = ft.pair_links(sp.daughter_pairs(n), of("learned"), of("tf_harm"), vectors)
+    return out.withColumns({c: F.round(c, k) for c, k in (("over1", 6), ("over2", 6), ("cos1", 5), ("cos2", 5), ("cos12", 5))})
+
+
+def _way(a: str, b: str, name: str) -> str:
+    return ", ".join(f"coalesce({b}.{c}_um - {a}.{c}_um, 0) AS {name}_{c}" for c in AXES)
+
+
+def _len(v: str) -> str:
+    return f"sqrt({v}_z * {v}_z + {v}_y * {v}_y + {v}_x * {v}_x)"
+
+
+def _cos(u: str, v: str) -> str:
+    norm = f"{_len(u)} * {_len(v)}"
+    return f"CASE WHEN {norm} <= 1e-6 THEN 0 ELSE ({u}_z * {v}_z + {u}_y * {v}_y + {u}_x * {v}_x) / greatest({norm}, CAST(1e-6 AS DOUBLE)) END"
+
+
+def _div(a: str, b: str) -> str:
+    return f"({a}) / greatest({b}, CAST(1e-6 AS DOUBLE))"
+
+
+_NODE53 = {
+    "p1": "p1", "p2": "p2", "p3": "p3", "p2_over_p1": _div("p2", "p1"), "p1_minus_p2": "p1 - p2", "p3_over_p2": _div("p3", "p2"), "q1": "q1",
+    "p2_rank": "(row_number() OVER (PARTITION BY movie, t ORDER BY p2, node_id) - 1) / greatest(count(*) OVER (PARTITION BY movie, t) - 1, 1)",
+    "d1": "d1", "d2": "d2", "dsib": "dsib", "cos_sib": _cos("a", "b"), "dsib_over_d": _div("dsib", "d1 + d2"), "sym": _div("abs(d1 - d2)", "d1 + d2"), "d1_rel": _div("d1", "typical"), "d2_rel": _div("d2", "typical"),
+    "c1_q1": "k1q1", "c2_q1": "k2q1", "p2_margin_c2": "p2 - CASE WHEN k2m1 = node_id THEN k2q2 ELSE k2q1 END", "p1_margin_c1": "p1 - CASE WHEN k1m1 = node_id THEN k1q2 ELSE k1q1 END", "c1_out": "k1p1", "c2_out": "k2p1",
+    "mot_in": "mot", "cos_turn1": _cos("m", "a"), "cos_turn2": _cos("m", "b"), "mot_in_rel": _div("mot", "typical"), "cnn": "cnn",
+    "cnn_rank": "(row_number() OVER (PARTITION BY movie, t ORDER BY cnn, node_id) - 1) / greatest(count(*) OVER (PARTITION BY movie, t) - 1, 1)",
+    "trel": "t / greatest(max(t) OVER (PARTITION BY movie), 1)", "p2_x_cnn": "p2 * cnn", "dsib2": "dsib2", "dsib_growth": _div("dsib2", "dsib"), "cos_sib2": f"CASE WHEN onward THEN {_cos('e', 'f')} ELSE 0 END", "gc_min_p": "least(k1p1, k2p1)",
+    "dsib13": _len("h"), "cos13": _cos("a", "c"), "dsib23": _len("i"), "cos23": _cos("b", "c"),
+}
+_NODE53_COUNTS = {
+    "n_out": "n_out", "n_in": "n_in", "c1_is_mine": "coalesce(k1m1 = node_id, false)::INT", "c2_is_mine": "coalesce(k2m1 = node_id, false)::INT", "c1_nin": "k1n_in", "c2_nin": "k2n_in", "c1_nout": "k1n_out", "c2_nout": "k2n_out",
+    "grand_div": "(k1p2 > CAST(0.44 AS DOUBLE))::INT + (k2p2 > CAST(0.44 AS DOUBLE))::INT", "dens15": "o15", "dens8": "o8", "dnext15": "x15", "dnext8": "x8", "ddens15": "x15 - o15", "ddens8": "x8 - o8",
+}
+
+
+@_query(f"""WITH {_NODES}, {_LEARNED}, v AS (SELECT movie, i, j, p::DOUBLE AS p FROM l WHERE p >= CAST(0.02 AS FLOAT) AND (movie, i) IN (SELECT (movie, node_id) FROM n) AND (movie, j) IN (SELECT (movie, node_id) FROM n)),
+ot AS (SELECT movie, i AS node_id, count(*) AS n_out, max(p) FILTER (r = 1) AS p1, max(p) FILTER (r = 2) AS p2, max(p) FILTER (r = 3) AS p3, max(j) FILTER (r = 1) AS c1, max(j) FILTER (r = 2) AS c2, max(j) FILTER (r = 3) AS c3
+ FROM (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM v) GROUP BY ALL),
+it AS (SELECT movie, j AS node_id, count(*) AS n_in, max(p) FILTER (r = 1) AS q1, max(p) FILTER (r = 2) AS q2, max(i) FILTER (r = 1) AS m1 FROM (SELECT *, row_number() OVER (PARTITION BY movie, j ORDER BY p DESC, i) AS r FROM v) GROUP BY ALL),
+ba AS (SELECT n.movie, n.node_id, t, z_um, y_um, x_um, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, c1, c2, c3, coalesce(n_out, 0) AS n_out, coalesce(q1, 0) AS q1, coalesce(q2, 0) AS q2, m1, coalesce(n_in, 0) AS n_in
+ FROM n LEFT JOIN ot ON n.movie = ot.movie AND n.node_id = ot.node_id LEFT JOIN it ON n.movie = it.movie AND n.node_id = it.node_id),
+ow AS (SELECT movie, i, count(*) FILTER (d <= 15) AS o15, count(*) FILTER (d <= 8) AS o8 FROM ({_SAME}) GROUP BY ALL), nx AS (SELECT movie, i, count(*) FILTER (d <= 15) AS x15, count(*) FILTER (d <= 8) AS x8 FROM ({_NEXT}) GROUP BY ALL),
+cn AS ({SQL["jn_divscore"].removeprefix(f"WITH {_NODES}, {_LEARNED}, ").join(["WITH ", ""])}),
+w AS (SELECT a.movie, a.node_id, a.t, a.p1, a.p2, a.p3, a.n_out, a.q1, a.n_in, {_way("pa", "a", "m")}, {_way("a", "k1", "a")}, {_way("a", "k2", "b")}, {_way("a", "k3", "c")}, {_way("k1", "k2", "g")}, {_way("k1", "k3", "h")}, {_way("k2", "k3", "i")},
+ {_way("a", "g1", "e")}, {_way("a", "g2", "f")}, {_way("g1", "g2", "s")}, g1.node_id IS NOT NULL AND g2.node_id IS NOT NULL AS onward, pa.node_id IS NOT NULL AS has_parent,
+ {", ".join(f"coalesce(k{k}.{c}, 0) AS k{k}{c}" for k in (1, 2) for c in ("q1", "q2", "n_in", "p1", "p2", "n_out"))}, k1.m1 AS k1m1, k2.m1 AS k2m1, coalesce(o15, 0) AS o15, coalesce(o8, 0) AS o8,
+ CASE WHEN (a.movie, a.t + 1) IN (SELECT (movie, t) FROM n) THEN coalesce(x15, 0) ELSE coalesce(o15, 0) + 1 END AS x15, CASE WHEN (a.movie, a.t + 1) IN (SELECT (movie, t) FROM n) THEN coalesce(x8, 0) ELSE coalesce(o8, 0) + 1 END AS x8, cn.score::DOUBLE AS cnn
+ FROM ba a LEFT JOIN ba k1 ON a.movie = k1.movie AND a.c1 = k1.node_id LEFT JOIN ba k2 ON a.movie = k2.movie AND a.c2 = k2.node_id LEFT JOIN ba k3 ON a.movie = k3.movie AND a.c3 = k3.node_id
+ LEFT JOIN ba g1 ON k1.movie = g1.movie AND k1.c1 = g1.node_id LEFT JOIN ba g2 ON k2.movie = g2.movie AND k2.c1 = g2.node_id LEFT JOIN ba pa ON a.movie = pa.movie AND a.m1 = pa.node_id
+ LEFT JOIN ow ON a.movie = ow.movie AND a.node_id = ow.i LEFT JOIN nx ON a.movie = nx.movie AND a.node_id = nx.i LEFT JOIN cn ON a.movie = cn.movie AND a.node_id = cn.node_id),
+y AS (SELECT *, {_len("m")} AS mot, {_len("a")} AS d1, {_len("b")} AS d2, {_len("g")} AS dsib, CASE WHEN onward THEN {_len("s")} ELSE 0 END AS dsib2 FROM w),
+mo AS (SELECT movie, t, median(mot) AS med FROM y WHERE has_parent GROUP BY ALL), u AS (SELECT y.*, CASE WHEN med > 1e-6 THEN med ELSE 1 END AS typical FROM y LEFT JOIN mo ON y.movie = mo.movie AND y.t = mo.t)
+SELECT movie, node_id, {", ".join(f"round({x}, 6) + 0 AS {c}" for c, x in _NODE53.items())}, {", ".join(f"{x} AS {c}" for c, x in _NODE53_COUNTS.items())} FROM u""")
+def ft_node53(spark, d):
+    """The 53 columns of every node over the learned links of p >= 0.02; the score of ``jn_divscore`` stands for the division network's."""
+    stages = Stages(spark, "nodes53")
+    n, links = stages.write(_nodes(spark, d), "nodes")[0], stages.write(gr_candidate_graph(spark, d), "links")[0]
+    return ft.node53(n, links, jn_divscore(spark, d)).withColumns({c: F.round(c, 6) for c in _NODE53})
+
+
 # --- scores, labels and samples
 
 
@@ -829,16 +978,6 @@ def jn_scores_to_nodes(spark, d):
     return rows.join(med, "movie").select("movie", "node_id", F.when(F.col("missed") & (F.col("size") == 0), F.col("med")).otherwise(F.col("size")).alias("size"))
 
 
-@_query(f"WITH {_NODES}, {_LEARNED}, v AS (SELECT l.movie, t, round_even(z, 0) AS z, round_even(y, 0) AS y, round_even(x, 0) AS x, max(p) AS score FROM l JOIN n ON l.movie = n.movie AND i = node_id GROUP BY ALL) SELECT n.movie, node_id, coalesce(score, 0) AS score, score IS NOT NULL AS present FROM n LEFT JOIN v ON n.movie = v.movie AND n.t = v.t AND round_even(n.z, 0) = v.z AND round_even(n.y, 0) = v.y AND round_even(n.x, 0) = v.x")
-def jn_divscore(spark, d):
-    """A score joined to nodes by frame and rounded voxel, 0 where there is none."""
-    n = _nodes(spark, d)
-    at = [F.rint(c).alias(f"r{c}") for c in AXES]
-    keyed = n.select("movie", "t", "node_id", *at)
-    v = _learned(spark, d).withColumnRenamed("i", "node_id").join(keyed, ["movie", "node_id"]).groupBy("movie", "t", "rz", "ry", "rx").agg(F.max("p").alias("score"))
-    return keyed.join(v, ["movie", "t", "rz", "ry", "rx"], "left").select("movie", "node_id", F.coalesce("score", F.lit(0.0).cast("float")).alias("score"), F.col("score").isNotNull().alias("present"))
-
-
 @_query(f"""WITH {_EDGES}, {_LEARNED}, c AS (SELECT movie, source_id AS u, list_sort(list(target_id)) AS kids FROM e GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM l), w AS (SELECT movie, i AS u, least(max(j) FILTER (r = 1), max(j) FILTER (r = 2)) AS d1, greatest(max(j) FILTER (r = 1), max(j) FILTER (r = 2)) AS d2 FROM r WHERE r <= 2 GROUP BY ALL HAVING count(*) = 2)
 SELECT w.movie, w.u, d1, d2, CASE WHEN len(kids) = 1 THEN 0 WHEN len(kids) = 2 THEN (kids[1] = d1 AND kids[2] = d2)::INT END AS y FROM w LEFT JOIN c ON w.movie = c.movie AND w.u = c.u""")
@@ -877,7 +1016,15 @@ def ag_component_support(spark, d):
     return rows.join(share, ["movie", "comp"]).select("movie", "node_id", "comp", F.round("share", 6).alias("share"))
 
 
-SQL["gr_support_tracks"], QUERIES["gr_support_tracks"] = SQL["ag_component_support"], ag_component_support
+@_query()
+def gr_support_tracks(spark, d):
+    """Tracks of a second model supported by the first, with its scores: recorded targets stand for the second's points, recorded sources, with
+    their best p and number of edges, for the first's."""
+    stages = Stages(spark, "support")
+    n, e = stages.write(_nodes(spark, d), "nodes")[0], stages.write(_edges(spark, d), "edges")[0]
+    second = n.join(e.select("movie", F.col("target_id").alias("node_id")), ["movie", "node_id"], "left_semi")
+    scores = e.groupBy("movie", F.col("source_id").alias("node_id")).agg(F.coalesce(F.max("p").cast("double"), F.lit(0.0)).alias("seed"), F.count(F.lit(1)).cast("double").alias("size"))
+    return tr.refined(second, n.join(scores, ["movie", "node_id"]))
 
 
 @_query(f"WITH {_LEARNED}, r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY p DESC, j) AS r FROM l), w AS (SELECT a.movie, a.i AS u, a.p::DOUBLE * b.p::DOUBLE AS score FROM r a JOIN r b ON a.movie = b.movie AND a.i = b.i AND a.r < b.r AND b.r <= 3) SELECT movie, u, max(score) AS score, round(avg(1 / (1 + exp(-(2 * score - 1)))), 6) AS mean FROM w GROUP BY ALL")
@@ -1065,12 +1212,21 @@ def fn_string(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY movie, i ORDER BY d, j) AS a, row_number() OVER (PARTITION BY movie, j ORDER BY d, i) AS b FROM k),
 an AS (SELECT p.movie, p.t, p.node_id, p.z_um, p.y_um, p.x_um, q.z_um - p.z_um AS mz, q.y_um - p.y_um AS my, q.x_um - p.x_um AS mx FROM r JOIN n p ON r.movie = p.movie AND i = p.node_id JOIN n q ON r.movie = q.movie AND j = q.node_id WHERE a = 1 AND b = 1 AND d < 6)
 SELECT a.movie, a.node_id AS i, count(*) AS tis_n, median(mz) AS fz, median(my) AS fy, median(mx) AS fx FROM nn a JOIN an b ON a.movie = b.movie AND a.t = b.t AND a.node_id <> b.node_id WHERE {_DIST} <= 3 * greatest(nnd, 4.0) AND {_DIST} <= 45 GROUP BY ALL HAVING count(*) >= 2""")
-def sj_flow_anchor(spark, d):
+def sj_flow_mutual(spark, d):
     """Median displacement of short mutual links around each node, within three times its nearest distance."""
     n = _nodes(spark, d)
     return ft.flow(n, sp.nearest_in_frame(n), lk.mutual_best(sp.next_frame_pairs(n)))
 
 
+@_query()
+def sj_flow_anchor(spark, d):
+    """Median displacement of short first-pass links around each node, within three times its nearest distance."""
+    stages = Stages(spark, "flow")
+    n, _ = stages.write(_nodes(spark, d), "nodes")
+    nnd, first = stages.write(sp.nearest_in_frame(n), "nnd")[0], stages.write(mt.link_frames(n, 7.0, 5.0), "first")[0]
+    return ft.flow(n, nnd, first)
+
+
 @_query(f"WITH {_NODES} SELECT movie, node_id, t, z, y, x FROM n")
 def gr_coords_by_id(spark, d):
     """Places by node."""
