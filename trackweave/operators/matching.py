@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -10,48 +11,60 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators.components import connected
 from trackweave.operators.spatial import next_frame_pairs
 from trackweave.plans.stages import Stages
 
 PAIRS_A_GROUP = 20_000
 
 
-def least_cost(cost: np.ndarray) -> np.ndarray:
-    """For each row of a matrix with no more rows than columns its column, so that the sum is least.
+def least_cost(i: np.ndarray, j: np.ndarray, cost: np.ndarray, alone: float) -> np.ndarray:
+    """Places of the pairs (i, j), ends numbered from 0, that match ends one to one so that their costs and ``alone`` for each i left over
+    are least in sum.
 
-    Shortest augmenting paths with potentials; each path is searched with vector operations over the columns.
+    Shortest augmenting paths over the pairs there are: memory grows with these, not with the product of the sides.  Costs are not negative.
     """
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=np.int64)
-    for row in range(1, n + 1):
-        owner[0] = row
-        col = 0
-        reach = np.full(m + 1, np.inf)
-        used = np.zeros(m + 1, dtype=bool)
-        back = np.zeros(m + 1, dtype=np.int64)
-        while owner[col]:
-            used[col] = True
-            r = owner[col]
-            slack = cost[r - 1] - u[r] - v[1:]
-            better = ~used[1:] & (slack < reach[1:])
-            reach[1:][better] = slack[better]
-            back[1:][better] = col
-            free = np.where(used[1:], np.inf, reach[1:])
-            nxt = int(free.argmin()) + 1
-            step = free[nxt - 1]
-            u[owner[used]] += step
-            v[used] -= step
-            reach[~used] -= step
-            col = nxt
-        while col:
-            owner[col] = owner[back[col]]
-            col = back[col]
-    out = np.full(n, -1)
-    for c in range(1, m + 1):
-        if owner[c]:
-            out[owner[c] - 1] = c - 1
-    return out
+    order = np.argsort(i, kind="stable")
+    starts = np.searchsorted(i[order], np.arange(i.max() + 2)).tolist()
+    places, cols, costs = order.tolist(), j[order].tolist(), cost[order].tolist()
+    n_cols = int(j.max()) + 1
+    u = [0.0] * (len(starts) - 1)
+    v: dict[int, float] = {}
+    owner: dict[int, int] = {}
+    taken: dict[int, tuple[int, int]] = {}
+    for free in range(len(u)):
+        reach: dict[int, float] = {}
+        by: dict[int, tuple[int, int]] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, far = free, 0.0
+        while True:
+            # column n_cols + row stands for staying alone
+            for k, c, w in [(k, cols[k], costs[k]) for k in range(starts[row], starts[row + 1])] + [(-1, n_cols + row, alone)]:
+                step = far + w - u[row] - v.get(c, 0.0)
+                if c not in done and step < reach.get(c, math.inf):
+                    reach[c], by[c] = step, (row, k)
+                    heapq.heappush(heap, (step, c))
+            far, col = heapq.heappop(heap)
+            while col in done:
+                far, col = heapq.heappop(heap)
+            done.add(col)
+            if col not in owner:
+                break
+            row = owner[col]
+        u[free] += far
+        for c in done:
+            if c in owner:
+                u[owner[c]] += far - reach[c]
+            v[c] = v.get(c, 0.0) + reach[c] - far
+        while True:
+            row, k = by[col]
+            before = taken.get(row)
+            owner[col], taken[row] = row, (col, k)
+            if row == free:
+                break
+            col = before[0]
+    return np.array([places[k] for _, k in taken.values() if k >= 0], dtype=int)
 
 
 def gated(pairs: pd.DataFrame, similarity: bool = False) -> np.ndarray:
@@ -59,36 +72,20 @@ def gated(pairs: pd.DataFrame, similarity: bool = False) -> np.ndarray:
 
     With ``similarity`` the sum of 1 / (1 + d) is the greatest instead, however many pairs that are.
     """
-    a, i = np.unique(pairs["i"].to_numpy(), return_inverse=True)
-    b, j = np.unique(pairs["j"].to_numpy(), return_inverse=True)
+    i, j = (np.unique(pairs[c].to_numpy(), return_inverse=True)[1] for c in "ij")
     d = pairs["d"].to_numpy(dtype=float)
-    cost = np.full((len(a), len(b)), 0.0 if similarity else 1e6)
-    cost[i, j] = -1 / (1 + d) if similarity else d
-    place = np.full(cost.shape, -1)
-    place[i, j] = np.arange(len(d))
-    if len(a) > len(b):
-        found = place[least_cost(cost.T), np.arange(len(b))]
-    else:
-        found = place[np.arange(len(a)), least_cost(cost)]
-    return found[found >= 0]
+    return least_cost(i, j, d / (1 + d), 1.0) if similarity else least_cost(i, j, d, 1e6)
 
 
 def islands(stages: Stages, pairs: DataFrame) -> DataFrame:
-    """Adds ``island`` to pairs (movie, i, j): the smallest i of those that share ends directly or through others.
+    """Adds ``island`` to pairs (movie, i, j): a label shared by all that share ends directly or through others.
 
-    Labels go from i to j and back until none changes; islands of gated pairs reach few steps.
+    A node counts once as an i and once as a j, as even and odd numbers of one graph.
     """
-    now, path = stages.write(pairs.withColumn("island", F.col("i")), "islands")
-    while True:
-        by_j = now.groupBy("movie", "j").agg(F.min("island").alias("a"))
-        step = now.join(by_j, ["movie", "j"])
-        by_i = step.groupBy("movie", "i").agg(F.min("a").alias("b"))
-        new, new_path = stages.write(step.join(by_i, ["movie", "i"]).withColumn("moved", F.col("b") < F.col("island")).withColumn("island", F.col("b")).drop("a", "b"), "islands")
-        more = bool(new.where("moved").take(1))
-        stages.drop(path)
-        now, path = new.drop("moved"), new_path
-        if not more:
-            return now
+    now, _ = stages.write(pairs, "pairs")
+    ends = now.select("movie", (F.col("i") * 2).alias("a"), (F.col("j") * 2 + 1).alias("b"))
+    found = connected(ends, ["movie"], "a", "b").where("node % 2 = 0").select("movie", F.expr("node div 2").alias("i"), F.col("comp").alias("island"))
+    return now.join(found, ["movie", "i"])
 
 
 def matched(pairs: DataFrame, similarity: bool = False, then: Callable[[pd.DataFrame, np.ndarray], np.ndarray] | None = None) -> DataFrame:

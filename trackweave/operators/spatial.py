@@ -40,7 +40,7 @@ def next_frame_nearest(nodes: DataFrame, k: int, of: str = "i", first: float = 2
     """(movie, i, j, d): the k nearest successors of every i (``of='i'``) or predecessors of every j (``of='j'``).
 
     Equal distances go to the smaller id; a frame of fewer than k nodes gives all.
-    The search radius doubles: a node with k others in reach is done, the rest ask again, so crowded frames
+    The search radius doubles: a node with k others in reach is done, the rest ask again, and only who asks is copied to the cells around, so crowded frames
     never meet as a whole; who is still open when the radius spans the movies is done with what there is.
     """
     stages = Stages(nodes.sparkSession, "nearest")
@@ -55,7 +55,7 @@ def next_frame_nearest(nodes: DataFrame, k: int, of: str = "i", first: float = 2
     found, radius = None, first
     asked, _ = stages.write(asked.join(present, ["movie", "t"]), "open")
     while True:
-        pairs = radius_join(asked, others, of, to, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+        pairs = radius_join(others, asked, to, of, radius).withColumn("rank", rank).where(F.col("rank") <= k)
         done, _ = stages.write(pairs.withColumn("full", full).where(F.col("full") | F.lit(radius >= farthest)).select("movie", "i", "j", "d"), "done")
         found = done if found is None else found.unionByName(done)
         if radius >= farthest:
@@ -89,7 +89,7 @@ def nearest_distance(nodes: DataFrame, first: float = 20.0) -> DataFrame:
     asked, path, left = stages.counted(asked, "open", F.lit(True))
     found: list[str] = []
     while left or not found:
-        near = radius_join(asked, others, "i", "j", radius).where("i <> j").groupBy("movie", F.col("i").alias("node_id")).agg(F.min("d").alias("nnd"))
+        near = radius_join(others, asked, "j", "i", radius).where("i <> j").groupBy("movie", F.col("i").alias("node_id")).agg(F.min("d").alias("nnd"))
         near, near_path = stages.write(near, "done")
         found.append(near_path)
         asked, path, left = stages.counted(asked.join(near.withColumnRenamed("node_id", "i"), ["movie", "i"], "left_anti"), "open", F.lit(True))
