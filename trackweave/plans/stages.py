@@ -11,8 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,10 +66,12 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def counted(self, df: DataFrame, name: str, which: Column) -> tuple[DataFrame, str, int]:
-        """``write``, and how many rows fulfil a condition, counted while they are written."""
-        seen = Observation()
-        table, path = self.write(df.observe(seen, F.sum(which.cast("long")).alias("n")), name)
-        return table, path, int(seen.get["n"] or 0)
+        """``write``, and how many of the written rows fulfil a condition.
+
+        They are counted from the written column alone; an ``Observation`` would leave the session unfit for Spark ML's closures.
+        """
+        table, path = self.write(df, name)
+        return table, path, table.where(which).count()
 
     @contextmanager
     def _grown(self) -> Iterator[None]:
