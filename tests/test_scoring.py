@@ -23,3 +23,9 @@ def test_samples_are_the_same_in_every_run(spark):
     df = spark.range(1000).selectExpr("concat('g', id % 3) as g", "id")
     a, b = ({(r.g, r.id) for r in per_group(x, "g", "id", 20, 5).collect()} for x in (df, df.repartition(9)))
     assert a == b and len(a) == 60
+
+
+def test_features_are_written_once_for_all_fits(spark):
+    df = spark.createDataFrame([(k, k % 2, k % 3 % 2, float(k)) for k in range(40)], "id long, fold int, y int, a double")
+    files = out_of_fold(df, ["a"], "y", "fold", 2, ["id", "y"], "logistic").inputFiles()
+    assert files and all("/folds-" in f for f in files)

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,3 +39,20 @@ def test_spread_join_equals_join(spark, monkeypatch, how):
     found = sorted(map(tuple, skew.spread_join(many, one, ["k"], "id", how).select(*sorted(many.join(one, ["k"], how).columns)).collect()), key=repr)
     want = many.join(one, ["k"], how)
     assert found == sorted(map(tuple, want.select(*sorted(want.columns)).collect()), key=repr)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    jvm = spark.sparkContext._jvm
+
+    def files():
+        found = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b.name() for b in jvm.scala.jdk.javaapi.CollectionConverters.asJava(found) if b.name().startswith("shuffle_")}
+
+    before, stages = files(), Stages(spark, "shuffled")
+    stages.write(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "a")
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    left = files() - before
+    stages.close()
+    assert not left

@@ -62,15 +62,25 @@ def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: st
     )
 
 
-def evidence21(links: DataFrame, names: list[str]) -> DataFrame:
-    """Of each evidence, null as 0: the value, rank from 0 and gap to the best by source and target; then |first - second|."""
-    out = links.select("movie", "i", "j", *(F.coalesce(n, F.lit(0.0).cast("float")).alias(n) for n in names))
-    src, dst = Window.partitionBy("movie", "i"), Window.partitionBy("movie", "j")
+def _ranked(links: DataFrame, names: list[str], key: str, other: str, end: str) -> DataFrame:
+    """Adds rank from 0 and gap to the best of each evidence by one end; one step an end, as windows of both in one step would exchange rows to and fro."""
+    w = Window.partitionBy("movie", key)
     cols = []
     for n in names:
-        cols += [F.col(n), (F.row_number().over(src.orderBy(F.desc(n), "j")) - 1).alias(f"{n}_rank_src"), (F.max(n).over(src) - F.col(n)).alias(f"{n}_gap_src")]
-        cols += [(F.row_number().over(dst.orderBy(F.desc(n), "i")) - 1).alias(f"{n}_rank_dst"), (F.max(n).over(dst) - F.col(n)).alias(f"{n}_gap_dst")]
-    return out.select("movie", "i", "j", *cols, F.abs(F.col(names[0]) - F.col(names[1])).alias("spread"))
+        cols += [(F.row_number().over(w.orderBy(F.desc(n), other)) - 1).alias(f"{n}_rank_{end}"), (F.max(n).over(w) - F.col(n)).alias(f"{n}_gap_{end}")]
+    return links.select("*", *cols)
+
+
+def _evidence_columns(names: list[str]) -> list:
+    parts = ("", "_rank_src", "_gap_src", "_rank_dst", "_gap_dst")
+    return [*(F.col(f"{n}{part}") for n in names for part in parts), F.abs(F.col(names[0]) - F.col(names[1])).alias("spread")]
+
+
+def evidence21(links: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of each evidence, null as 0: the value, rank from 0 and gap to the best by source and target; then |first - second|, and columns to keep."""
+    out = links.select("movie", "i", "j", *keep, *(F.coalesce(n, F.lit(0.0).cast("float")).alias(n) for n in names))
+    out = _ranked(_ranked(out, names, "i", "j", "src"), names, "j", "i", "dst")
+    return out.select("movie", "i", "j", *_evidence_columns(names), *keep)
 
 
 def link_pairs(links: DataFrame, best: int = 3) -> DataFrame:

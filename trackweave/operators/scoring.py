@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.plans.stages import Stages
+
 MODELS = {
     "gbt": lambda: GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=4, seed=1),
     "logistic": lambda: LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1e-3),
@@ -19,7 +21,9 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, fol
 
     Null and NaN features count as 0, a null label as unlabelled.  If the other folds' labels are all alike, the
     score is their mean, and 0 where there are none.
+    Every pass of every fit reads the rows, so they are written once.
     """
+    rows, _ = Stages(rows.sparkSession, "folds").write(rows.select(*dict.fromkeys([*keep, fold, label, *features])), "rows")
     filled = rows.select(*keep, fold, label, *(F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features))
     x = VectorAssembler(inputCols=features, outputCol="_x").transform(filled).withColumn("_y", F.col(label).cast("double"))
     out = None

@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 #: file pass for that of its rows, and broadcast tables several times over the session's threshold.
 GROWN = "8.0"
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
+#: Shuffle files go as soon as their table is written; else they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[Stages] = []
 
 
@@ -55,12 +57,13 @@ class Stages:
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
         """The table as written and read again, and its path.
 
-        While it is written, sizes of files count GROWN times, if the session has Spark's default; the session's setting comes back.
+        While it is written, sizes of files count GROWN times, if the session has Spark's default, and its shuffle files are deleted at the
+        end; the session's settings come back.
         """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         writer = df.write.option("compression", "zstd")
-        with self._grown():
+        with self._writing():
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path), path
@@ -74,17 +77,17 @@ class Stages:
         return table, path, table.where(which).count()
 
     @contextmanager
-    def _grown(self) -> Iterator[None]:
+    def _writing(self) -> Iterator[None]:
         conf = self.spark.conf
-        had = conf.get(_FACTOR, None)
-        if float(had or "1.0") != 1.0:
-            yield
-            return
-        conf.set(_FACTOR, GROWN)
+        had = {k: conf.get(k, None) for k in (_FACTOR, _CLEAN)}
+        conf.set(_CLEAN, "true")
+        if float(had[_FACTOR] or "1.0") == 1.0:
+            conf.set(_FACTOR, GROWN)
         try:
             yield
         finally:
-            conf.set(_FACTOR, had) if had is not None else conf.unset(_FACTOR)
+            for k, v in had.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
 
     def drop(self, *paths: str) -> None:
         for path in paths:

@@ -75,9 +75,11 @@ def _edges(spark, d):
     return valid_edges(table(spark, d, "track_edges"), table(spark, d, "track_nodes"))
 
 
-def _scores(spark, d):
+def _scores(spark, d, within=None, more=None):
+    """Current links; rows of ``more`` (movie, source, i, j, scored_at, p) go along."""
     rows = table(spark, d, "link_scores").where("movie is not null and source is not null and i is not null and j is not null and i <> -1 and j <> -1")
-    cur = current_scores(rows.withColumn("p", F.col("p")), ["movie", "source", "i", "j"], "scored_at", "p")
+    rows = rows.select("movie", "source", "i", "j", "scored_at", "p")
+    cur = current_scores(rows if more is None else rows.unionByName(more), ["movie", "source", "i", "j"], "scored_at", "p", within)
     return cur.where(F.col("p").isNotNull() & ~F.isnan("p"))
 
 
@@ -158,8 +160,12 @@ def flt_sparse_route(spark, d):
 _PIVOT = "SELECT movie, i, j, max(p) FILTER (source = 'tf_fwd') AS tf_fwd, max(p) FILTER (source = 'tf_harm') AS tf_harm, max(p) FILTER (source = 'embed') AS embed, max(p) FILTER (source = 'learned') AS learned FROM s GROUP BY ALL"
 
 
+def _evidences():
+    return [F.max(F.when(F.col("source") == s, F.col("p"))).alias(s) for s in ("tf_fwd", "tf_harm", "embed", "learned")]
+
+
 def _pivot(spark, d):
-    return _scores(spark, d).groupBy("movie", "i", "j").agg(*(F.max(F.when(F.col("source") == s, F.col("p"))).alias(s) for s in ("tf_fwd", "tf_harm", "embed", "learned")))
+    return _scores(spark, d, ["movie", "i", "j"]).groupBy("movie", "i", "j").agg(*_evidences())
 
 
 @_query(f"WITH {_SCORES} {_PIVOT}")
@@ -1117,13 +1123,26 @@ def fn_motion_cosine(spark, d):
     return a.join(b, ["movie", "u"]).groupBy("movie", "u", "w", F.round(turn, 6).alias("turn")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _labelled(spark, d):
+    """``_pivot`` with the label ``y`` of ``jn_gt_child`` and whether there is a learned p.
+
+    Edges go along with the scores as rows without a source, so that pivot, label and ranks by source node need one exchange.
+    """
+    kinds = dict(table(spark, d, "link_scores").dtypes)
+    edge = {"source": F.lit(None), "scored_at": F.lit(None), "p": F.lit(1.0)}
+    e = _edges(spark, d).select("movie", F.col("source_id").alias("i"), F.col("target_id").alias("j"), *(v.cast(kinds[c]).alias(c) for c, v in edge.items()))
+    rows = _scores(spark, d, ["movie", "i"], e).groupBy("movie", "i", "j").agg(*_evidences(), F.max(F.col("source").isNull()).alias("hit"), F.max(F.col("source").isNotNull()).alias("scored"))
+    rows = rows.withColumn("has", F.max("hit").over(Window.partitionBy("movie", "i"))).where("scored")
+    return rows.select("movie", "i", "j", *_EVID, F.when(F.col("hit"), 1).when(F.col("has"), 0).alias("y"), F.col("learned").isNotNull().alias("is_learned"))
+
+
 @_query()
 def tr_edge_lgbm(spark, d):
     """Out-of-fold probability of each link from its evidence columns, two halves of the movies, boosted trees."""
-    cols = ft.evidence21(_pivot(spark, d), _EVID)
-    rows = cols.join(jn_gt_child(spark, d), ["movie", "i", "j"]).join(tr_halves(spark, d), "movie")
-    features = [c for c in cols.columns if c not in ("movie", "i", "j")]
-    return sc_.out_of_fold(rows, features, "y", "half", 2, ["movie", "i", "j", "y"])
+    cols = ft.evidence21(_labelled(spark, d), _EVID, ("y", "is_learned"))
+    halves = F.broadcast(tr_halves(spark, d))  # a row a movie
+    features = [c for c in cols.columns if c not in ("movie", "i", "j", "y", "is_learned")]
+    return sc_.out_of_fold(cols.where("is_learned").join(halves, "movie"), features, "y", "half", 2, ["movie", "i", "j", "y"])
 
 
 QUERIES["md_edge_lgbm"] = tr_edge_lgbm

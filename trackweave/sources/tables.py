@@ -23,10 +23,10 @@ def current_rows(df: DataFrame, keys: list[str], by: str, values: list[str]) ->
     return df.groupBy(*keys).agg(latest).select(*keys, *(F.col(f"_r.{v}").alias(v) for v in values))
 
 
-def current_scores(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
-    """``current_rows`` for one number: hash aggregates over one exchange by the key."""
+def current_scores(df: DataFrame, keys: list[str], by: str, value: str, within: list[str] | None = None) -> DataFrame:
+    """``current_rows`` for one number: hash aggregates over one exchange by the key, or by those of its columns ``within`` which later steps group."""
     earliest = F.lit("0001-01-01").cast(df.schema[by].dataType)
-    parts = df.select(*keys, F.coalesce(by, earliest).alias(by), value).repartition(*keys)
+    parts = df.select(*keys, F.coalesce(by, earliest).alias(by), value).repartition(*(within or keys))
     return parts.groupBy(*keys, by).agg(F.max(value).alias(value)).groupBy(*keys).agg(F.max_by(value, by).alias(value))
 
 
