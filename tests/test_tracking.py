@@ -120,3 +120,17 @@ def test_empty_tables(spark):
     n, e = nodes(spark, [(0, 1, 0)]).limit(0), edges(spark, [(1, 2)]).limit(0)
     for df in (sp.candidates(n), sp.nearest_in_frame(n), mt.link_frames(n), tr.segments(n, e), tr.spaced(n.selectExpr("*", "1.0 as s"), 4.0, "s"), tr.smoothed(n, e), tr.bridges(tr.gap_pairs(n, e))):
         assert df.count() == 0
+
+
+def test_edge_columns_leave_only_their_own_tables(spark):
+    from trackweave.operators.features import edge47
+    from trackweave.plans import stages
+
+    before = list(stages._open)
+    nodes = spark.createDataFrame([("m", k, k // 3, 1.0, 9.0 * (k % 3), 0.5 * k) for k in range(12)], "movie string, node_id long, t int, z_um double, y_um double, x_um double")
+    links = spark.createDataFrame([("m", k, k + 3, 1.5) for k in range(9)], "movie string, i long, j long, d double")
+    evidence = spark.createDataFrame([("m", 0, 3, 0.5, None), ("m", 7, 7, 1.0, 1.0)], "movie string, i long, j long, a float, b float")
+    rows = {r.i: r for r in edge47(nodes, links, evidence, ["a", "b"]).collect()}
+    assert len(rows) == 9 and rows[0].a == rows[0].spread == 0.5 and rows[1].a == rows[0].b == 0.0 and rows[0].tis_n == 0
+    assert {s.root.rpartition("/")[2].partition("-")[0] for s in stages._open if s not in before} == {"edge26", "edge47"}
+    assert all("geometry" not in p for s in stages._open if s not in before for p in s.paths)

@@ -9,7 +9,7 @@ from trackweave.functions.geometry import AXES, cosine, distance, points, safe_d
 from trackweave.operators import links as lk
 from trackweave.operators import matching as mt
 from trackweave.operators import spatial as sp
-from trackweave.plans.stages import Stages
+from trackweave.plans.stages import Stages, scope
 
 CAP = 15.0
 
@@ -18,7 +18,7 @@ def flow(nodes: DataFrame, nnd: DataFrame, first_pass: DataFrame, short: float =
     """(movie, i, fz, fy, fx, tis_n): median displacement of short first-pass links of the frame around each node.
 
     Around means within 3 max(nnd, 4), without the node itself; with fewer than two there is none.
-    Nodes ask by classes of radius, each with cells of its own width, so those of crowded places don't meet their whole frame;
+    Nodes ask by classes of radius, each with cells of its own width and each node copied in one class only, so those of crowded places don't meet their whole frame;
     ``nnd`` is at most ``widest`` / 3.
     """
     at = points(nodes, "j", -1).drop("t").join(first_pass.where(F.col("d") < short).select("movie", "i", "j"), ["movie", "j"])
@@ -28,7 +28,7 @@ def flow(nodes: DataFrame, nnd: DataFrame, first_pass: DataFrame, short: float =
     reach, near, last = 3 * F.greatest("nnd", F.lit(4.0)), None, 0.0
     for width in (12.0, 24.0, widest):
         part = asked.where((reach > last) & (reach <= width))
-        part = sp.radius_join(part, anchors, "i", "a", width).where((F.col("i") != F.col("a")) & (F.col("d") <= reach))
+        part = sp.radius_join(anchors, part, "a", "i", width).where((F.col("i") != F.col("a")) & (F.col("d") <= reach))
         near, last = part if near is None else near.unionByName(part), width
     med = near.groupBy("movie", "i").agg(F.count(F.lit(1)).alias("tis_n"), *(F.percentile(f"m{c}", F.lit(0.5)).alias(f"f{c}") for c in AXES))
     return med.where("tis_n >= 2")
@@ -36,10 +36,17 @@ def flow(nodes: DataFrame, nnd: DataFrame, first_pass: DataFrame, short: float =
 
 def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: str | None = None) -> DataFrame:
     """The 26 geometry columns of links (movie, i, j, d); seed and size are columns of ``nodes``, 1 and 0 if not given."""
+    return _edge_rows(nodes, links, [], seed, size)
+
+
+def _edge_rows(nodes: DataFrame, links: DataFrame, names: list[str], seed: str | None, size: str | None) -> DataFrame:
+    """``edge26``, then the columns of ``evidence21`` of the evidences of ``links``: ranks and facts of each end by one exchange of the links."""
     stages = Stages(nodes.sparkSession, "edge26")
     nodes = nodes.select("movie", "node_id", "t", *(f"{c}_um" for c in AXES), (F.col(seed) if seed else F.lit(1.0)).alias("seed"), (F.col(size) if size else F.lit(0.0)).alias("size"))
-    nnd, _ = stages.write(sp.nearest_in_frame(nodes, CAP), "nnd")
-    first, _ = stages.write(mt.link_frames(nodes, 7.0, 5.0), "first")
+    nnd, nnd_path = stages.write(sp.nearest_in_frame(nodes, CAP), "nnd")
+    with scope():
+        first, first_path = stages.write(mt.link_frames(nodes, 7.0, 5.0), "first")
+    moved, _ = stages.write(flow(nodes, nnd, first), "flow")
     parents = first.groupBy("movie", F.col("j").alias("node_id")).agg(F.count(F.lit(1)).alias("k"), F.min("i").alias("parent"))
     before = points(nodes, "b", 0).select("movie", F.col("b").alias("parent"), *(f"{c}_b" for c in AXES))
     vel = parents.where("k = 1").join(before, ["movie", "parent"])
@@ -48,9 +55,13 @@ def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: st
     last = nodes.groupBy("movie").agg((F.max("t") + 1).alias("frames"))
     rich = rich.join(last, "movie")
     rich, _ = stages.write(rich.select("movie", "node_id", "t", *(F.col(f"{c}_um").alias(c) for c in AXES), "nnd", "seed", "size", F.col("k").isNotNull().cast("int").alias("known"), *((F.coalesce(F.col(f"{c}_um") - F.col(f"{c}_b"), F.lit(0.0))).alias(f"v{c}") for c in AXES), F.coalesce("fut", F.lit(0)).alias("fut"), F.coalesce("past", F.lit(0)).alias("past"), "frames"), "rich")
+    stages.drop(nnd_path, first_path)
     a = rich.select("movie", F.col("node_id").alias("i"), *(F.col(c).alias(f"{c}_i") for c in (*AXES, "nnd", "seed", "size", "t", "frames", "known", "past", "vz", "vy", "vx")))
     b = rich.select("movie", F.col("node_id").alias("j"), *(F.col(c).alias(f"{c}_j") for c in (*AXES, "nnd", "seed", "size", "fut")))
-    rows = lk.distance_ranks(links).join(a, ["movie", "i"]).join(b, ["movie", "j"]).join(flow(nodes, nnd, first), ["movie", "i"], "left")
+    rows = links
+    for key, other, end, facts in (("j", "i", "dst", b), ("i", "j", "src", a)):
+        rows = _ranked(lk.end_ranks(rows, key, other), names, key, other, end).join(facts, ["movie", key], "left")
+    rows = rows.where("nnd_i is not null and nnd_j is not null").join(moved, ["movie", "i"], "left")
     cap = lambda c: F.least(c, F.lit(CAP))
     gone = lambda p: [F.col(f"{c}_j") - (F.col(f"{c}_i") + F.col(f"{p}{c}" if p == "f" else f"{p}{c}_i")) for c in AXES]
     norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
@@ -59,6 +70,7 @@ def edge26(nodes: DataFrame, links: DataFrame, seed: str | None = None, size: st
         "nnd_i", "nnd_j", "seed_i", "seed_j", "size_i", "size_j", "rank_ij", "rank_ji", "ncand_i", "ncand_j", cap(F.col("d2_i")).alias("d2_i"), cap(F.col("d2_j")).alias("d2_j"),
         cap(norm(gone("v"))).alias("vel_res"), F.col("known_i").alias("vel_known_i"), cap(F.coalesce(norm(gone("f")), "d")).alias("tis_res"), F.coalesce("tis_n", F.lit(0)).alias("tis_n"), "fut_j", F.col("past_i"),
         ((F.col("rank_ij") == 0) & (F.col("rank_ji") == 0)).cast("int").alias("mutual"), F.col("z_i"), (F.col("t_i") / F.col("frames_i")).alias("t_frac"),
+        *(_evidence_columns(names) if names else []),
     )
 
 
@@ -114,10 +126,10 @@ def node_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def edge47(nodes: DataFrame, links: DataFrame, evidence: DataFrame, names: list[str], seed: str | None = None, size: str | None = None) -> DataFrame:
     """``edge26`` of the candidate links (movie, i, j, d) with ``evidence21`` of what is known of them, 47 columns for four evidences."""
-    stages = Stages(nodes.sparkSession, "edge47")
-    geometry, _ = stages.write(edge26(nodes, links, seed, size), "geometry")
-    known = links.select("movie", "i", "j").join(evidence.select("movie", "i", "j", *names), ["movie", "i", "j"], "left")
-    return geometry.join(evidence21(known, names), ["movie", "i", "j"])
+    stages, none = Stages(nodes.sparkSession, "edge47"), F.lit(0.0).cast("float")
+    known = links.select("movie", "i", "j", "d").join(evidence.select("movie", "i", "j", *names), ["movie", "i", "j"], "left")
+    known, _ = stages.write(known.withColumns({n: F.coalesce(n, none) for n in names}), "known")
+    return _edge_rows(nodes, known, names, seed, size)
 
 
 def densities(nodes: DataFrame, near: float = 8.0, wide: float = 15.0) -> DataFrame:

@@ -10,15 +10,17 @@ def _by(key: str, *order) -> Window:
     return Window.partitionBy("movie", key).orderBy(*order)
 
 
+def end_ranks(links: DataFrame, key: str, other: str) -> DataFrame:
+    """Adds the columns of ``distance_ranks`` of one end, by one exchange."""
+    w, rank = Window.partitionBy("movie", key), f"rank_{key}{other}"
+    out = links.withColumn(rank, F.row_number().over(w.orderBy("d", other)) - 1)
+    second = F.coalesce(F.min(F.when(F.col(rank) == 1, F.col("d"))).over(w), F.lit(15.0))
+    return out.withColumns({f"ncand_{key}": F.count(F.lit(1)).over(w), f"d2_{key}": second})
+
+
 def distance_ranks(links: DataFrame) -> DataFrame:
     """Adds rank_ij, rank_ji (from 0), ncand_i, ncand_j and the second smallest distances d2_i, d2_j (15 if single)."""
-    second = lambda key: F.coalesce(F.min(F.when(F.col(f"_r{key}") == 1, F.col("d"))).over(Window.partitionBy("movie", key)), F.lit(15.0))
-    out = links.withColumn("_ri", F.row_number().over(_by("i", "d", "j")) - 1).withColumn("_rj", F.row_number().over(_by("j", "d", "i")) - 1)
-    return out.select(
-        "movie", "i", "j", "d", F.col("_ri").alias("rank_ij"), F.col("_rj").alias("rank_ji"),
-        F.count(F.lit(1)).over(Window.partitionBy("movie", "i")).alias("ncand_i"), F.count(F.lit(1)).over(Window.partitionBy("movie", "j")).alias("ncand_j"),
-        second("i").alias("d2_i"), second("j").alias("d2_j"),
-    )
+    return end_ranks(end_ranks(links, "i", "j"), "j", "i").select("movie", "i", "j", "d", "rank_ij", "rank_ji", "ncand_i", "ncand_j", "d2_i", "d2_j")
 
 
 def evidence_columns(links: DataFrame, p: str) -> DataFrame:

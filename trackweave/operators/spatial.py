@@ -12,16 +12,18 @@ from trackweave.plans.stages import Stages
 def radius_join(left: DataFrame, right: DataFrame, a: str, b: str, radius: float, how: str = "inner") -> DataFrame:
     """Pairs of ``left`` (movie, t, a, z_a, y_a, x_a) and ``right`` (same with b) of one movie and t with d <= radius.
 
-    A grid join: one side lies in its own cell of the width of the radius, the other in the
-    27 around its own, so the join is a hash or merge join on movie, frame and cell, and no task
+    A grid join: one side lies in its own cell of twice the radius, the other in every cell that its reach
+    touches, two along each axis and eight in all, so the join is a hash or merge join on movie, frame and cell, and no task
     meets a whole frame.  The exploded side's size is not known before it runs, so it is merged, never
     broadcast on a guess.  ``how`` may be inner, left_semi or left_anti.
     Points with a null place or frame match nothing.
     """
     keys = ["movie", "t"]
     for c in AXES:
-        left = left.withColumn(f"_c{c}", F.floor(F.col(f"{c}_{a}") / radius))
-        right = right.withColumn(f"_c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}_{b}") / radius) - 1, F.floor(F.col(f"{c}_{b}") / radius) + 1)))
+        at, width = F.col(f"{c}_{b}"), 2 * radius
+        reach = F.lit(radius * (1 + 1e-9)) + F.abs(at) * 1e-15  # rounding of a place at a cell's edge
+        left = left.withColumn(f"_c{c}", F.floor(F.col(f"{c}_{a}") / width))
+        right = right.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))))
         keys.append(f"_c{c}")
     drop = [f"_c{c}" for c in AXES]
     if how == "inner":

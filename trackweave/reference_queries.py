@@ -19,7 +19,7 @@ from trackweave.operators import samples as sm
 from trackweave.operators import scoring as sc_
 from trackweave.operators import spatial as sp
 from trackweave.operators import tracks as tr
-from trackweave.plans.stages import Stages
+from trackweave.plans.stages import Stages, scope
 from trackweave.sources.files import parse_bands
 from trackweave.sources.tables import SCALE_ZYX, current_rows, current_scores, known_nodes, located_nodes, table, valid_edges
 
@@ -816,7 +816,8 @@ def _pool(spark, d):
     """Nodes and candidate links, written once."""
     stages = Stages(spark, "pool")
     n, _ = stages.write(_nodes(spark, d), "nodes")
-    return n, stages.write(sp.candidates(n), "links")[0]
+    with scope():
+        return n, stages.write(sp.candidates(n), "links")[0]
 
 
 _EVID = ["tf_fwd", "tf_harm", "embed", "learned"]
