@@ -56,3 +56,14 @@ def test_best_parent_and_descendants(spark):
     tree = hierarchy(spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("a", 4, 2)], SCHEMA), ["m"], paths=True)
     asked = spark.createDataFrame([("a", 2)], "m string, node long")
     assert sorted(r.descendant for r in descendants(tree, ["m"], asked).collect()) == [3, 4]
+
+
+def test_descendants_of_every_node(spark):
+    from trackweave import queries
+
+    d = "/root/testdata/sf0.001"
+    paths = queries.p4_paths(spark, d).where("path is not null").select("movie", "node_id", "path").collect()
+    want = sorted((r.movie, a, r.node_id) for r in paths for a in r.path[:-1])
+    got = [tuple(r) for r in queries.QUERIES["p4_all_descendants"](spark, d).collect()]
+    assert want and sorted(got) == want
+    assert sum(a % 20 == 0 for _, a, _ in got) < len(got)

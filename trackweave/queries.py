@@ -45,6 +45,12 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return trees.descendants(tree, ["movie"], asked).select("movie", F.col("node").alias("node_id"), "descendant")
 
 
+def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node that has any, as ``p4_descendants`` gives them of each twentieth, which its SQL asks for."""
+    tree = trees.hierarchy(_parents(spark, d), ["movie"], paths=True)
+    return trees.descendants(tree, ["movie"], tree.select("movie", "node")).select("movie", F.col("node").alias("node_id"), "descendant")
+
+
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     """(recording, id, y, x, size) of every window with a complete origin."""
     o = F.col("origin_um")
@@ -64,7 +70,7 @@ def p2_regions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("recording", "id", "region")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_regions, p4_found, p4_paths, p4_descendants)} | reference.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_regions, p4_found, p4_paths, p4_descendants, p4_all_descendants)} | reference.QUERIES
 
 SQL: dict[str, str] = {
     "p2_found": f"WITH {reference._NODES} SELECT a.movie, a.node_id AS node_a, b.node_id AS node_b FROM n a JOIN n b ON a.movie = b.movie AND a.t = b.t AND a.node_id < b.node_id WHERE {reference._DIST} <= 6.5",
