@@ -131,6 +131,6 @@ def test_edge_columns_leave_only_their_own_tables(spark):
     links = spark.createDataFrame([("m", k, k + 3, 1.5) for k in range(9)], "movie string, i long, j long, d double")
     evidence = spark.createDataFrame([("m", 0, 3, 0.5, None), ("m", 7, 7, 1.0, 1.0)], "movie string, i long, j long, a float, b float")
     rows = {r.i: r for r in edge47(nodes, links, evidence, ["a", "b"]).collect()}
-    assert len(rows) == 9 and rows[0].a == rows[0].spread == 0.5 and rows[1].a == rows[0].b == 0.0 and rows[0].tis_n == 0
+    assert len(rows) == 9 and rows[0].a == rows[0].spread == 0.5 and rows[1].a == rows[0].b == 0.0 and rows[0].tis_n == 2  # both others of the frame lie within 27 um
     assert {s.root.rpartition("/")[2].partition("-")[0] for s in stages._open if s not in before} == {"edge26", "edge47"}
     assert all("geometry" not in p for s in stages._open if s not in before for p in s.paths)
