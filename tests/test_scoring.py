@@ -29,3 +29,10 @@ def test_features_are_written_once_for_all_fits(spark):
     df = spark.createDataFrame([(k, k % 2, k % 3 % 2, float(k)) for k in range(40)], "id long, fold int, y int, a double")
     files = out_of_fold(df, ["a"], "y", "fold", 2, ["id", "y"], "logistic").inputFiles()
     assert files and all("/folds-" in f for f in files)
+
+
+def test_model_query_reads_written_features_only(spark):
+    from trackweave.reference_queries import QUERIES
+
+    files = QUERIES["md_edge_lgbm"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/folds-" in f for f in files)
