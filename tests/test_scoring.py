@@ -1,5 +1,8 @@
+import os
+
 from trackweave.operators.samples import per_group, trend
-from trackweave.operators.scoring import out_of_fold
+from trackweave.operators.scoring import MODELS, out_of_fold
+from trackweave.plans.stages import Stages
 
 
 def test_scores_come_from_other_folds(spark):
@@ -36,3 +39,18 @@ def test_model_query_reads_written_features_only(spark):
 
     files = QUERIES["md_edge_lgbm"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all("/folds-" in f for f in files)
+
+
+def test_model_query_exchanges_one_end_at_a_time(spark, monkeypatch):
+    from trackweave import reference_queries as rq
+    from trackweave.operators.features import evidence21
+
+    read, write = {}, Stages.write
+    monkeypatch.setattr(Stages, "write", lambda self, df, name, *more: (read.update({name: (self.root, df.inputFiles())}), write(self, df, name, *more))[1])
+    rq.QUERIES["md_edge_lgbm"](spark, "/root/testdata/sf0.001")
+    assert read["rows"][1] and not any("link_scores" in f or "track_edges" in f for f in read["rows"][1])
+    assert not os.path.exists(read["src"][0].removeprefix("file:")) and MODELS["gbt"]().getCheckpointInterval() == -1
+    rows, stages = rq._labelled(spark, "/root/testdata/sf0.001"), Stages(spark, "ends")
+    a, b = evidence21(rows, rq._EVID, ("y", "is_learned"), stages), evidence21(rows, rq._EVID, ("y", "is_learned"))
+    assert a.count() and not a.exceptAll(b).count() and not b.exceptAll(a).count()
+    stages.close()

@@ -88,10 +88,16 @@ def _evidence_columns(names: list[str]) -> list:
     return [*(F.col(f"{n}{part}") for n in names for part in parts), F.abs(F.col(names[0]) - F.col(names[1])).alias("spread")]
 
 
-def evidence21(links: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Of each evidence, null as 0: the value, rank from 0 and gap to the best by source and target; then |first - second|, and columns to keep."""
+def evidence21(links: DataFrame, names: list[str], keep: tuple[str, ...] = (), stages: Stages | None = None) -> DataFrame:
+    """Of each evidence, null as 0: the value, rank from 0 and gap to the best by source and target; then |first - second|, and columns to keep.
+
+    With ``stages`` the ranks by source are written, so that the exchanges by source and by target never lie on disk at one time.
+    """
     out = links.select("movie", "i", "j", *keep, *(F.coalesce(n, F.lit(0.0).cast("float")).alias(n) for n in names))
-    out = _ranked(_ranked(out, names, "i", "j", "src"), names, "j", "i", "dst")
+    out = _ranked(out, names, "i", "j", "src")
+    if stages:
+        out, _ = stages.write(out, "src")
+    out = _ranked(out, names, "j", "i", "dst")
     return out.select("movie", "i", "j", *_evidence_columns(names), *keep)
 
 

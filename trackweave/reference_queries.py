@@ -1140,10 +1140,11 @@ def _labelled(spark, d):
 @_query()
 def tr_edge_lgbm(spark, d):
     """Out-of-fold probability of each link from its evidence columns, two halves of the movies, boosted trees."""
-    cols = ft.evidence21(_labelled(spark, d), _EVID, ("y", "is_learned"))
+    stages = Stages(spark, "ranks")
+    cols = ft.evidence21(_labelled(spark, d), _EVID, ("y", "is_learned"), stages)
     halves = F.broadcast(tr_halves(spark, d))  # a row a movie
     features = [c for c in cols.columns if c not in ("movie", "i", "j", "y", "is_learned")]
-    return sc_.out_of_fold(cols.where("is_learned").join(halves, "movie"), features, "y", "half", 2, ["movie", "i", "j", "y"])
+    return sc_.out_of_fold(cols.where("is_learned").join(halves, "movie"), features, "y", "half", 2, ["movie", "i", "j", "y"], spent=stages)
 
 
 QUERIES["md_edge_lgbm"] = tr_edge_lgbm
