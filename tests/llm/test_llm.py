@@ -36,6 +36,19 @@ def test_groups_equal_union_find(spark, monkeypatch, hot):
     assert found == {("a", n): g for n, g in brute_groups(pairs).items()} | {("b", 1): 1, ("b", 300): 1}
 
 
+@pytest.mark.parametrize("few, grown", [(0, 2), (60, 1), (1000, 0)])
+def test_few_edges_are_closed_without_growth(spark, monkeypatch, few, grown):
+    levels, grow = [], groups._grow
+    monkeypatch.setattr(groups, "FEW_EDGES", few)
+    monkeypatch.setattr(groups, "_grow", lambda *a: (levels.append(a[3]), grow(*a))[1])
+    rng = random.Random(7)
+    pairs = [(k, k + 1) for k in range(90)] + [(rng.randrange(200, 290), rng.randrange(200, 290)) for _ in range(60)]
+    rows = [("a", *p) for p in pairs] + [("b", *p) for p in pairs[60:]] + [("c", 90, 200), ("c", 200, 90)]
+    found = [((r.movie, r.node), r.group_id) for r in groups.connected_groups(spark.createDataFrame(rows, "movie string, s long, t long"), ["movie"], "s", "t").collect()]
+    want = {(m, n): g for m, of in (("a", pairs), ("b", pairs[60:])) for n, g in brute_groups(of).items()} | {("c", 90): 90, ("c", 200): 90}
+    assert len(found) == len(want) and dict(found) == want and (len(levels) >= grown if few == 0 else len(levels) == grown)
+
+
 def test_groups_of_nulls_loops_and_nothing(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), (None, 1, 2)], "movie string, s long, t long")
     assert groups.connected_groups(df, ["movie"], "s", "t").count() == 0

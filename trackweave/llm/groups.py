@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions.skew import hot_keys, spread_join
 from trackweave.plans.stages import Stages
 
+#: With so many edges or fewer left, growth and contraction cost plans and jobs, in the driver's memory above all, for next to no rows.
+FEW_EDGES = 200_000
+
+
 def _start(by: list[str], level: int, beta: float) -> Column:
     """The exponentially shifted start time of a vertex, drawn from its hash: minus Exp(beta)."""
     h = F.xxhash64(*by, "node", F.lit(level))
@@ -44,12 +51,39 @@ def _grow(edges: DataFrame, by: list[str], level: int, beta: float, rounds: int,
     return labels.select(*by, "node", "center")
 
 
+def _closed(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, center): whole components of FEW_EDGES edges or fewer, dealt to tasks by ``by``, which no component crosses."""
+    schema = edges.select(*by, F.col("a").alias("node"), F.col("a").alias("center")).schema
+
+    def close(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [x for x in parts if len(x)]
+        if not found:
+            return
+        rows = pd.concat(found, ignore_index=True)
+        ends = pd.concat([rows[[*by, end]].set_axis([*by, "node"], axis=1) for end in "ab"], ignore_index=True)
+        code = ends.groupby([*by, "node"], sort=False).ngroup().to_numpy()
+        ends = ends.drop_duplicates(ignore_index=True)  # in the order of their codes
+        parent = list(range(len(ends)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in zip(code[: len(rows)].tolist(), code[len(rows) :].tolist(), strict=True):
+            parent[root(a)] = root(b)
+        yield ends.assign(center=ends["node"].to_numpy()[[root(x) for x in range(len(ends))]])
+
+    return (edges.repartition(*by) if by else edges.coalesce(1)).mapInPandas(close, schema)
+
+
 def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: float = 0.25, rounds: int = 8) -> DataFrame:
     """(by, node, group_id) of every node that a pair links with another; group_id is the smallest node of the group.
 
     Level by level, vertices grow into clusters of low diameter from
     exponentially shifted start times; the clusters become the vertices of the next
-    level, whose edges are the distinct ones between clusters, until none is left.
+    level, whose edges are the distinct ones between clusters, until FEW_EDGES or fewer are left, whose components are
+    closed exactly within the tasks that ``by`` deals them to.
     The assignments are then composed from the top.  The smallest member is carried
     up with each contraction.  Hot vertices, when clusters grow and contract, and clusters of very many members, when assignments are
     composed, are spread over several tasks.
@@ -65,14 +99,15 @@ def connected_groups(edges: DataFrame, by: list[str], a: str, b: str, beta: floa
     now, path, left = stages.counted(now.distinct(), "edges", F.lit(True))
     assigned: list[tuple[DataFrame, str, int]] = []
     while left or not assigned:
-        center = _grow(now, by, len(assigned), beta, rounds, left)
+        few = left <= FEW_EDGES
+        center = _closed(now, by) if few else _grow(now, by, len(assigned), beta, rounds, left)
         if assigned:
             center = center.join(_least(assigned[-1][0], by).withColumnRenamed("center", "node"), [*by, "node"])
         else:
             center = center.withColumn("least", F.col("node"))
         center, center_path, members = stages.counted(center, "assigned", F.lit(True))
         assigned.append((center, center_path, members))
-        if not left:
+        if few:
             break
         ca = center.select(*by, F.col("node").alias("a"), F.col("center").alias("ca"))
         cb = center.select(*by, F.col("node").alias("b"), F.col("center").alias("cb"))
